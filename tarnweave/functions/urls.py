@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The generic syntax regex of RFC 3986, appendix B.
 RFC3986 = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?$"
@@ -63,7 +64,7 @@ def rejected_scheme(url: Column) -> Column:
     return low.startswith("mailto:") | low.startswith("javascript:")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve_link(base: pd.Series, href: pd.Series) -> pd.Series:
     """RFC 3986 resolution of `href` against `base`; null where it cannot be resolved."""
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +58,26 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     kept = cut(df)
     return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
+def publish(spark: SparkSession, data: bytes, name: str) -> str:
+    """Writes `data` to the shared folder; the file's URI."""
+    target = f"{shared_dir(spark)}/{name}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(data)
+    out.close()
+    return target
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on every executor, those that join later included. Once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tarnweave_shipped", False):
+        return
+    home, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, f"{home.name}/{p.relative_to(home)}")
+    sc.addPyFile(publish(spark, packed.getvalue(), f"tarnweave-{uuid.uuid4().hex}.zip"))
+    sc._tarnweave_shipped = True
