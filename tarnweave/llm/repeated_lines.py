@@ -18,7 +18,7 @@ from tarnweave.functions.urls import site
 from tarnweave.session import sized
 
 #: All of Unicode's white space but the line feed.
-BLANK = r"[\s&&[^\n]\x0b\x0c\x1c-\x1f\x{85}\p{Z}]+"
+BLANK = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\p{Z}]+"
 DEPTH = 3
 
 

@@ -46,12 +46,12 @@ def fused_scores(rows: DataFrame, group: str, item: str, weights: Mapping[str, f
     scores = list(weights)
     cells = rows.select(F.col(group).alias("g"), F.col(item).alias("i"), (F.col(at) if at else F.lit(0)).alias("t"), *(F.nanvl(F.col(s).cast("double"), F.lit(None).cast("double")).alias(f"s{k}") for k, s in enumerate(scores)))
     cells = latest_rows(cells, ["g", "i"], "t", [f"s{k}" for k in range(len(scores))])
-    mid = sized(cells.groupBy("g").agg(*(_median(F.col(f"s{k}")).alias(f"m{k}") for k in range(len(scores)))))
-    near = cells.join(mid, F.col("g").eqNullSafe(mid["g"])).drop(mid["g"])
+    mid = sized(cells.groupBy("g").agg(*(_median(F.col(f"s{k}")).alias(f"m{k}") for k in range(len(scores)))).withColumnRenamed("g", "mg"))
+    near = cells.join(mid, F.col("g").eqNullSafe(F.col("mg"))).drop("mg")
     off = [F.abs(F.col(f"s{k}") - F.col(f"m{k}")) for k in range(len(scores))]
     mads = near.groupBy("g").agg(*(_median(x).alias(f"d{k}") for k, x in enumerate(off)), *(F.avg(x).alias(f"a{k}") for k, x in enumerate(off)), *(F.first(f"m{k}").alias(f"m{k}") for k in range(len(scores))))
-    mads = sized(mads)
-    out = cells.join(mads, F.col("g").eqNullSafe(mads["g"])).drop(mads["g"])
+    mads = sized(mads.withColumnRenamed("g", "mg"))
+    out = cells.join(mads, F.col("g").eqNullSafe(F.col("mg"))).drop("mg")
     num, den = F.lit(0.0), F.lit(0.0)
     for k, s in enumerate(scores):
         scale = F.when(F.col(f"d{k}") > 0, F.col(f"d{k}") * MAD_SCALE).when(F.col(f"a{k}") > 0, F.col(f"a{k}") * 1.2533)
