@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of rows a side may have to be broadcast after it was counted.
@@ -45,10 +45,21 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """`df` written once to the shared folder; survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder and read from there.
+
+    Ends the lineage, survives the loss of any executor, and gives the planner true sizes.
+    """
+    target = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
+def cut_counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """`cut(df)` and the aggregates `metrics`, both from one job; `rows` is always among them."""
+    seen = Observation(f"cut-{uuid.uuid4().hex}")
+    kept = cut(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in metrics.items())))
+    return kept, seen.get
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -56,8 +67,8 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
     Beyond that the plan keeps an ordinary shuffle join, with AQE's skew handling.
     """
-    kept = cut(df)
-    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+    kept, seen = cut_counted(df)
+    return F.broadcast(kept) if seen["rows"] <= rows else kept
 
 
 def publish(spark: SparkSession, data: bytes, name: str) -> str:

@@ -1,0 +1,12 @@
+"""Out-degrees kept up to date from a stream of edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from tarnweave.operators import graph
+
+
+def running_out_degree(edge_stream: DataFrame) -> DataFrame:
+    """`src, out_degree` of a streaming (or static) edge table; use output mode complete or update."""
+    return graph.out_degree(graph.clean_edges(edge_stream))
