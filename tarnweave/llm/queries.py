@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnweave.llm import contamination, distinctive_terms, encode, repeated_lines, score_fusion
+from tarnweave.llm import body, contamination, distinctive_terms, encode, language, repeated_lines, residue, score_fusion
 
 SCORES = {"tfidf_score": 1.0, "pagerank_score": 1.0, "combined_score": 1.0}
 
@@ -52,6 +52,28 @@ def p3_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "term", F.round("weight", 9).alias("weight"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_pages(_table(spark, sf_dir, "pages")).select("id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.languages(_table(spark, sf_dir, "pages"))
+    return found.where("line_no >= 0 or label is null or label <> lang").select("id", "line_no", "lang")
+
+
+def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.languages(_table(spark, sf_dir, "pages"), skip_residue=False)
+    return found.select("id", "line_no", "lang", F.round("confidence", 6).alias("confidence"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return body.furniture_lines(_table(spark, sf_dir, "pages")).select("id", "line_no")
+
+
+def p7_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return body.main_body(_table(spark, sf_dir, "pages"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(_table(spark, sf_dir, "documents"))
 
@@ -66,4 +88,4 @@ def p9_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_templates, p1_cleaned, p2_found, p2_fused, p3_found, p3_weights, p8_ids, p9_found, p9_tolerant)}
+    return {f.__name__: f for f in (p1_found, p1_templates, p1_cleaned, p2_found, p2_fused, p3_found, p3_weights, p5_found, p6_found, p6_languages, p7_found, p7_bodies, p8_ids, p9_found, p9_tolerant)}
