@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnweave.llm import body, contamination, distinctive_terms, encode, language, repeated_lines, residue, score_fusion
+from tarnweave.llm import body, contamination, distinctive_terms, encode, language, near_duplicates, repeated_lines, residue, score_fusion, stuffing
+from tarnweave.session import cut
 
 SCORES = {"tfidf_score": 1.0, "pagerank_score": 1.0, "combined_score": 1.0}
 
@@ -52,6 +53,18 @@ def p3_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "term", F.round("weight", 9).alias("weight"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.expand_pairs(*near_duplicates.near_duplicate_classes(_table(spark, sf_dir, "pages")))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record with its class of exact copies and the number of the class's links to other texts."""
+    members, links = near_duplicates.near_duplicate_classes(_table(spark, sf_dir, "pages"))
+    links = cut(links)
+    ends = links.select(F.col("class_a").alias("class")).unionByName(links.select(F.col("class_b").alias("class")))
+    return members.join(ends.groupBy("class").agg(F.count(F.lit(1)).alias("links")), "class", "left").select("id", "class", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_pages(_table(spark, sf_dir, "pages")).select("id")
 
@@ -87,5 +100,9 @@ def p9_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), max_subs=2)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed_documents(_table(spark, sf_dir, "documents")).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_templates, p1_cleaned, p2_found, p2_fused, p3_found, p3_weights, p5_found, p6_found, p6_languages, p7_found, p7_bodies, p8_ids, p9_found, p9_tolerant)}
+    return {f.__name__: f for f in (p1_found, p1_templates, p1_cleaned, p2_found, p2_fused, p3_found, p3_weights, p4_found, p4_classes, p5_found, p6_found, p6_languages, p7_found, p7_bodies, p8_ids, p9_found, p9_tolerant, p10_found)}
