@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 
 from tarnweave.session import ship
 
-KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "ids": pa.list_(pa.int32()), "longs": pa.list_(pa.int64()), "binary": pa.binary()}
-DDL = {"ids": "array<int>", "longs": "array<long>"}
+KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "ids": pa.list_(pa.int32()), "longs": pa.list_(pa.int64()), "doubles": pa.list_(pa.float64()), "binary": pa.binary()}
+DDL = {"ids": "array<int>", "longs": "array<long>", "doubles": "array<double>"}
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[list]], schema: dict[str, str]) -> DataFrame:

@@ -136,7 +136,7 @@ class ResidueModel:
         """Worker-side caches: a row of `_rows` per distinct word, and verdicts of repeated lines."""
         self._index = Memo(self._word, 10**9)  # emptied together with the rows
         self._rows: list[tuple[float, float, float]] = []
-        self._lines = Lines()
+        self.lines = Lines()
 
     def __getstate__(self):
         return {"residue": self.residue, "natural": self.natural}
@@ -196,7 +196,7 @@ class ResidueModel:
                 line = " ".join(words)
                 if not left_over[k] and unfilled(line):
                     left_over[k] = True
-                share, kind = self._lines(line)
+                share, kind = self.lines(line)
                 if share >= 0.5:
                     continue
                 n = len(words)
