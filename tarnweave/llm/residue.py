@@ -24,6 +24,8 @@ from tarnweave.llm.furniture import Lines
 ORDER = 4
 WINDOW = 3
 THRESHOLD = 0.12
+#: Words of residue that a case has at least: a short title is none.
+MIN_RESIDUE = 3
 SAMPLE_PAGES = 3600
 LANGUAGES = ("en", "de", "fr", "es", "it", "nl", "pt", "ru")
 
@@ -211,7 +213,7 @@ class ResidueModel:
                 elif is_sentence:
                     sentence[k] += n - bad
                     residue[k] += bad if bad > 2 else 0
-        return [(left_over[k] or (residue[k] >= 2 and residue[k] > sentence[k]), residue[k], sentence[k]) for k in range(n_texts)]
+        return [(left_over[k] or (residue[k] >= MIN_RESIDUE and residue[k] > sentence[k]), residue[k], sentence[k]) for k in range(n_texts)]
 
     def __call__(self, text: str | None) -> tuple[bool, int, int]:
         return self.judge([text])[0]

@@ -53,14 +53,29 @@ def _row(part: str, n: int) -> int:
     return marks if marks >= 2 and n / (marks + 1) <= 4.5 else 0
 
 
+def _unwrapped(text: str) -> list[str]:
+    """Lines that aren't blank; a quoted or indented sentence that goes on in the next line is joined again."""
+    out: list[str] = []
+    quoted = False
+    for raw in text.split("\n"):
+        line = " ".join(raw.lstrip(">| \t").split())
+        if not line:
+            quoted = False
+            continue
+        here = raw[:1] in ">| \t"
+        if out and (here or quoted) and line[0].islower() and not _END.search(out[-1]) and " " in out[-1]:
+            out[-1] += " " + line
+        else:
+            out.append(line)
+        quoted = here
+    return out
+
+
 def units(text: str) -> list[Unit]:
     """Kinds: sentence, link, item (short entries or a row of them), loose (long words without punctuation), code."""
     out: list[Unit] = []
     in_code = False
-    for raw in text.split("\n"):
-        line = " ".join(raw.split())
-        if not line:
-            continue
+    for line in _unwrapped(text):
         if line.startswith("```"):
             in_code = not in_code
             continue
