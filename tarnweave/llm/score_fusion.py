@@ -1,6 +1,7 @@
 """Problem 2: one ranking from scores of different scales.
 
-Each score is standardised within its group by median and median absolute deviation, squashed to (0, 1) by a
+Each score is standardised within its group by median and median absolute deviation, the deviation taken on the value's
+own side of the median (scores are skewed), squashed to (0, 1) by a
 logistic function, and the bounded values are combined by a weighted geometric mean.
 
 Medians come from mergeable quantile sketches (bounded memory, combined before the shuffle), so a group that holds
@@ -38,9 +39,8 @@ def fused_scores(rows: DataFrame, group: str, item: str, weights: Mapping[str, f
     """`group, item, fused` with fused in (0, 1], higher is better.
 
     `weights` maps score columns to weights >= 0. Each item counts once per group (by its latest row if `at` is
-    given). A null or NaN score is left out of the mean of its item; an item without any score gets null. If more
-    than half of a group's values of a score are equal (deviation 0), its mean deviation is taken; if that is 0 too,
-    the score says nothing (0.5). Rows with null group or item form a group or item of their own. Repeated rows and
+    given). A null or NaN score is left out of the mean of its item; an item without any score gets null. A value equal
+    to the median gets 0.5, so a score that is the same for all says nothing. Rows with null group or item form a group or item of their own. Repeated rows and
     extra columns change nothing; an empty table gives no rows.
     """
     scores = list(weights)
@@ -48,14 +48,16 @@ def fused_scores(rows: DataFrame, group: str, item: str, weights: Mapping[str, f
     cells = latest_rows(cells, ["g", "i"], "t", [f"s{k}" for k in range(len(scores))])
     mid = sized(cells.groupBy("g").agg(*(_median(F.col(f"s{k}")).alias(f"m{k}") for k in range(len(scores)))).withColumnRenamed("g", "mg"))
     near = cells.join(mid, F.col("g").eqNullSafe(F.col("mg"))).drop("mg")
-    off = [F.abs(F.col(f"s{k}") - F.col(f"m{k}")) for k in range(len(scores))]
-    mads = near.groupBy("g").agg(*(_median(x).alias(f"d{k}") for k, x in enumerate(off)), *(F.avg(x).alias(f"a{k}") for k, x in enumerate(off)), *(F.first(f"m{k}").alias(f"m{k}") for k in range(len(scores))))
+    off = [F.col(f"s{k}") - F.col(f"m{k}") for k in range(len(scores))]
+    sides = [(f"u{k}", F.when(x > 0, x)) for k, x in enumerate(off)] + [(f"d{k}", F.when(x < 0, -x)) for k, x in enumerate(off)]
+    mads = near.groupBy("g").agg(*(_median(x).alias(name) for name, x in sides), *(F.first(f"m{k}").alias(f"m{k}") for k in range(len(scores))))
     mads = sized(mads.withColumnRenamed("g", "mg"))
     out = cells.join(mads, F.col("g").eqNullSafe(F.col("mg"))).drop("mg")
     num, den = F.lit(0.0), F.lit(0.0)
     for k, s in enumerate(scores):
-        scale = F.when(F.col(f"d{k}") > 0, F.col(f"d{k}") * MAD_SCALE).when(F.col(f"a{k}") > 0, F.col(f"a{k}") * 1.2533)
-        z = F.coalesce((F.col(f"s{k}") - F.col(f"m{k}")) / scale, F.lit(0.0)) * slope
+        off = F.col(f"s{k}") - F.col(f"m{k}")
+        scale = F.when(off > 0, F.col(f"u{k}")).when(off < 0, F.col(f"d{k}")) * MAD_SCALE
+        z = F.coalesce(off / scale, F.lit(0.0)) * slope
         log_squash = F.when(z < -30, z).otherwise(-F.log1p(F.exp(-z)))
         there = F.col(f"s{k}").isNotNull()
         num += F.when(there, log_squash * weights[s]).otherwise(0.0)

@@ -20,8 +20,8 @@ P2 = """
 with best as (select query_id, node_id, tfidf_score, pagerank_score, combined_score, row_number() over (partition by query_id, node_id order by served_at desc nulls last, tfidf_score desc nulls last, pagerank_score desc nulls last, combined_score desc nulls last) as k from search_results),
 c as (select query_id, node_id, unnest(['t', 'p', 'c']) as what, unnest([tfidf_score, pagerank_score, combined_score]) as s from best where k = 1),
 m as (select query_id, what, median(s) as m, from c group by all),
-d as (select query_id, what, any_value(m) as m, median(abs(s - m)) as d, avg(abs(s - m)) as a from c join m using (query_id, what) group by all),
-z as (select query_id, node_id, s, coalesce((s - m) / case when d > 0 then d * 1.4826::double when a > 0 then a * 1.2533::double end, 0.0::double) as z from c left join d using (query_id, what)),
+d as (select query_id, what, any_value(m) as m, median(case when s > m then s - m end) as u, median(case when s < m then m - s end) as d from c join m using (query_id, what) group by all),
+z as (select query_id, node_id, s, coalesce((s - m) / (case when s > m then u when s < m then d end * 1.4826::double), 0.0::double) as z from c left join d using (query_id, what)),
 f as (select query_id, node_id, exp(avg(case when s is null then null when z < -30 then z else -ln(1 + exp(-z)) end)) as fused from z group by all)
 """
 

@@ -71,9 +71,10 @@ def test_fused_scores(spark):
             for k, w in enumerate((1.0, 2.0, 1.0)):
                 column = np.array([v[k] for v in mine.values() if v[k] is not None])
                 med = np.median(column)
-                mad = np.median(abs(column - med))
                 if scores[k] is not None:
-                    num += w * math.log(1 / (1 + math.exp(-(scores[k] - med) / (1.4826 * mad))))
+                    side = [abs(x - med) for x in column if (x - med) * (scores[k] - med) > 0]
+                    z = (scores[k] - med) / (1.4826 * np.median(side)) if side else 0.0
+                    num += w * math.log(1 / (1 + math.exp(-z)))
                     den += w
             assert got[q, i] == pytest.approx(math.exp(num / den))
     assert got[9, 1] == pytest.approx(0.5) and got[9, 2] is None and got[None, None] == pytest.approx(0.5)
