@@ -36,11 +36,13 @@ def pagerank(
         raise ValueError("norm is l1 or linf, dangling is distribute or leak")
     spark = edges.sparkSession
     edges = graph.clean_edges(edges)
-    if not graph.rejected_edges(edges).isEmpty():
+    ends = edges.agg(F.min(F.least("src", "dst")).alias("low"), F.max(F.greatest("src", "dst")).alias("high")).first()
+    if ends["low"] is not None and ends["low"] < 0:
         raise ValueError("negative node id")
     if dedup:
         edges = graph.distinct_edges(edges)
-    n = graph.node_count(edges) if n is None else n
+    if n is None:
+        n = 0 if ends["high"] is None else ends["high"] + 1
     if n == 0:
         return Result(spark.range(0).select("id", F.lit(0.0).alias("rank")), 0)
     weights = graph.transition_matrix(edges).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
@@ -51,10 +53,13 @@ def pagerank(
     out = Result(ranks, 0)
     try:
         for it in range(max_iter):
-            flow = weights.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("weight") * F.col("rank")).alias("y"))
+            # contributions and the nodes themselves meet in one aggregation: one shuffle, combined before it
+            flow = weights.join(ranks.select(F.col("id").alias("src"), "rank"), "src").select(F.col("dst").alias("id"), (F.col("weight") * F.col("rank")).alias("y"), F.lit(None).cast("double").alias("old"), F.lit(None).cast("boolean").alias("loose"))
+            both = flow.unionByName(ranks.select("id", F.lit(0.0).alias("y"), F.col("rank").alias("old"), "loose"))
+            sums = both.groupBy("id").agg(F.sum("y").alias("y"), F.max("old").alias("old"), F.max("loose").alias("loose")).where("old is not null")
             spread = seen["mass"] / n if dangling == "distribute" else 0.0
-            new = damping * (F.coalesce("y", F.lit(0.0)) + spread) + (1 - damping) / n
-            step = ranks.join(flow, "id", "left").select("id", new.alias("rank"), "loose", F.abs(new - F.col("rank")).alias("change"))
+            new = damping * (F.col("y") + spread) + (1 - damping) / n
+            step = sums.select("id", new.alias("rank"), "loose", F.abs(new - F.col("old")).alias("change"))
             step, seen = cut_counted(step, mass=mass, l1=F.sum("change"), linf=F.max("change"), total=F.sum("rank"))
             ranks = step.drop("change")
             out.deltas.append((seen["l1"], seen["linf"]))
