@@ -13,13 +13,23 @@ KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string"
 DDL = {"ids": "array<int>", "longs": "array<long>", "doubles": "array<double>"}
 
 
+#: Bytes of input that are turned into Python objects at once: long texts come in fewer rows.
+SLICE_BYTES = 4_000_000
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    rows = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, SLICE_BYTES)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[list]], schema: dict[str, str]) -> DataFrame:
     """`fn` gets an iterator over batches, each a list of Python columns, and yields batches of columns in `schema`'s order."""
     ship(df.sparkSession)
     names, kinds = list(schema), list(schema.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn([c.to_pylist() for c in b.columns] for b in batches):
+        for out in fn([c.to_pylist() for c in b.columns] for batch in batches for b in _slices(batch)):
             yield pa.RecordBatch.from_arrays([pa.array(c, type=KINDS[k]) for c, k in zip(out, kinds, strict=True)], names=names)
 
     return df.mapInArrow(run, ", ".join(f"`{n}` {DDL.get(k, k)}" for n, k in schema.items()))

@@ -236,6 +236,17 @@ def test_leaks_with_substitutions(spark, local):
         contamination.leaked_items(a, b, min_words=5)
 
 
+def test_long_texts_come_in_slices(spark):
+    import pyarrow as pa
+
+    from tarnweave.llm.arrow import SLICE_BYTES, _slices
+
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * (SLICE_BYTES // 4)] * 30})
+    parts = list(_slices(batch))
+    assert sum(p.num_rows for p in parts) == 30 and len(parts) >= 7
+    assert [p.num_rows for p in _slices(batch.slice(0, 0))] == []
+
+
 def test_entry_point_has_all(spark):
     import __spark_entry__ as e
 
