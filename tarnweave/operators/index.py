@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnweave.functions import text as T
+from tarnweave.session import cut, sized
 
 
 @dataclass
@@ -41,11 +42,14 @@ def doc_len(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Documents without tokens are not indexed and don't count; weight is raw tf times idf."""
-    tf = term_freq(docs, id_col, text_col)
-    lengths = doc_len(docs, id_col, text_col)
-    n = lengths.agg(F.count(F.lit(1)).alias("n"))
+    """Documents without tokens are not indexed and don't count; weight is raw tf times idf.
+
+    Texts are split once: counts per document and term are written, everything else derives from them.
+    """
+    tf = cut(term_freq(docs, id_col, text_col))
+    n = tf.agg(F.count_distinct("doc_id").alias("n"))
     terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", "df", T.idf(F.col("df"), F.col("n")).alias("idf"))
+    terms = sized(terms)
     postings = tf.join(terms, "term").select("term", "doc_id", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
-    norms = postings.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return Index(postings, terms, lengths.join(norms, "doc_id"))
+    docs_out = postings.groupBy("doc_id").agg(F.sum("tf").alias("n_tokens"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    return Index(postings, terms, docs_out)
