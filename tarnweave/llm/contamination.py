@@ -3,6 +3,8 @@
 Spaced seeds: each fixed mask keeps some of SPAN consecutive words and ignores the others; the hash of the kept words
 is a seed. Documents and items with an equal seed are compared along that diagonal, tolerating substituted words.
 Any SPAN consecutive equal words hit with every mask, so exact passages of min_words >= SPAN words are never missed.
+With substitutions the masks keep whole blocks of the SPAN words, in every choice of as many blocks as no substitution
+can reach (`covering_masks`): wherever the substitutions stand, one mask avoids them all, so nothing is missed either.
 
 A benchmark of at most MAX_LOCAL_ITEMS items (counted first) is looked up inside the scan: a sorted seed array per
 worker, no shuffle at all. A larger one is joined by seed hash.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.llm.arrow import Memo, map_batches
 
+#: For passages with SPAN consecutive equal words.
 MASKS = ("110110101101", "101101110011")
 SPAN = 12
 MAX_LOCAL_ITEMS = 20_000
@@ -67,6 +71,21 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, min_words: int, max_s
     return int(max(total[b - 1 + min_words] - total[a] for a, b in zip(edges[::2], edges[1::2], strict=True)))
 
 
+def covering_masks(min_words: int, max_subs: int) -> tuple[str, ...]:
+    """Masks of which one at least hits in any `min_words` words with at most `max_subs` substitutions.
+
+    Of the min_words // SPAN disjoint windows one has at most `subs` substitutions, its share of them rounded down.
+    The window is cut into subs + 2 blocks (SPAN at most); substitutions touch at most `subs` of these, and each choice
+    of the number that is left has its mask. For 2 of 12 words: the six masks that keep two of four blocks of three words.
+    """
+    subs = max_subs // (min_words // SPAN)
+    if subs == 0:
+        return MASKS
+    blocks = min(subs + 2, SPAN)
+    kept = combinations(range(blocks), blocks - subs)
+    return tuple("".join("01"[k * blocks // SPAN in keep] for k in range(SPAN)) for keep in kept)
+
+
 def _best(doc: np.ndarray, item: np.ndarray, pairs: set[int], min_words: int, max_subs: int) -> int:
     return max((overlap(doc, item, s, min_words, max_subs) for s in pairs), default=0)
 
@@ -74,12 +93,16 @@ def _best(doc: np.ndarray, item: np.ndarray, pairs: set[int], min_words: int, ma
 def leaked_items(documents: DataFrame, items: DataFrame, *, min_words: int = 12, max_subs: int = 0, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", max_local_items: int = MAX_LOCAL_ITEMS) -> DataFrame:
     """`<id_col>, <item_col>, words`: each document that holds at least `min_words` consecutive words of an item, at most `max_subs` of any `min_words` of them substituted.
 
-    `min_words` is SPAN or more. Letter case and all that lies between words don't count. Null, empty and short texts
+    `min_words` is SPAN or more, and `max_subs` less than SPAN for each SPAN words of it. No placement of the
+    substitutions is missed (`covering_masks`). Letter case and all that lies between words don't count. Null, empty and short texts
     match nothing. A document and item come out once, however often they meet; repeated document rows repeat. Other
     columns are ignored.
     """
     if min_words < SPAN:
         raise ValueError(f"min_words must be at least {SPAN}")
+    if not 0 <= max_subs < min_words // SPAN * SPAN:
+        raise ValueError(f"max_subs must be at least 0 and less than {min_words // SPAN * SPAN} for {min_words} words")
+    masks = covering_masks(min_words, max_subs)
     docs = documents.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
     held = items.select(F.col(item_col).cast("long").alias(item_col), F.col(text_col).alias("text")).where("text is not null")
     schema = {id_col: "long", item_col: "long", "words": "long"}
@@ -90,8 +113,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, min_words: int = 12,
             if len(h := _hashes(r["text"], memo)) >= SPAN:
                 ids.append(r[item_col])
                 texts.append(h)
-        return map_batches(docs, _scan(ids, texts, min_words, max_subs), schema) if ids else map_batches(docs.limit(0), lambda b: iter(()), schema)
-    hits = _seed_rows(docs, id_col).join(_seed_rows(held, item_col), "seed").select(id_col, item_col).distinct()
+        return map_batches(docs, _scan(ids, texts, masks, min_words, max_subs), schema) if ids else map_batches(docs.limit(0), lambda b: iter(()), schema)
+    hits = _seed_rows(docs, id_col, masks).join(_seed_rows(held, item_col, masks), "seed").select(id_col, item_col).distinct()
     both = hits.join(docs.where("text is not null"), id_col).withColumnRenamed("text", "doc_text").join(held.withColumnRenamed("text", "item_text"), item_col)
 
     def verify(batches):
@@ -101,7 +124,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, min_words: int = 12,
             for k, i, d, t in zip(keys, its, doc_texts, item_texts, strict=True):
                 dw, iw = _hashes(d, memo), _hashes(t, memo)
                 shifts = set()
-                for m in MASKS:
+                for m in masks:
                     a, b = seeds(dw, m), seeds(iw, m)
                     for j, s in enumerate(b):
                         shifts.update((np.flatnonzero(a == s) - j).tolist())
@@ -113,14 +136,14 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, min_words: int = 12,
     return map_batches(both.select(id_col, item_col, "doc_text", "item_text"), verify, schema)
 
 
-def _seed_rows(df: DataFrame, key: str) -> DataFrame:
+def _seed_rows(df: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
     def rows(batches):
         memo = _memo()
         for keys, texts in batches:
             ks, out = [], []
             for k, t in zip(keys, texts, strict=True):
                 w = _hashes(t, memo)
-                own = np.unique(np.concatenate([seeds(w, m) for m in MASKS])).view(np.int64)
+                own = np.unique(np.concatenate([seeds(w, m) for m in masks])).view(np.int64)
                 out += own.tolist()
                 ks += [k] * len(own)
             yield [ks, out]
@@ -128,9 +151,9 @@ def _seed_rows(df: DataFrame, key: str) -> DataFrame:
     return map_batches(df, rows, {key: "long", "seed": "long"})
 
 
-def _scan(ids: list[int], texts: list[np.ndarray], min_words: int, max_subs: int):
+def _scan(ids: list[int], texts: list[np.ndarray], masks: tuple[str, ...], min_words: int, max_subs: int):
     tables = []
-    for m in MASKS:
+    for m in masks:
         parts = [seeds(t, m) for t in texts]
         seed = np.concatenate(parts)
         order = np.argsort(seed, kind="stable")

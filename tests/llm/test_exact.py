@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -236,6 +237,32 @@ def test_leaks_with_substitutions(spark, local):
         contamination.leaked_items(a, b, min_words=5)
 
 
+@pytest.mark.parametrize("local", [1000, 0])
+@pytest.mark.parametrize("words", [12, 14, 16])
+def test_leaks_with_substitutions_anywhere(spark, local, words):
+    """All placements of up to 4 substitutions; found are those with at most 2 in any 12 words, and no others."""
+    item = [f"w{k}" for k in range(words)]
+    docs, expected = [], set()
+    for subs in range(5):
+        for at in combinations(range(words), subs):
+            docs.append((len(docs), "x y z " + " ".join("other" if k in at else w for k, w in enumerate(item)) + " x y"))
+            stretches = [[k for k in range(words) if a <= k < b] for a in range(words) for b in range(a + 12, words + 1) if all(sum(s <= k < s + 12 for k in at) <= 2 for s in range(a, b - 11))]
+            if stretches:
+                expected.add((len(docs) - 1, max(sum(k not in at for k in s) for s in stretches)))
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    rows = contamination.leaked_items(a, b, max_subs=2, max_local_items=local).collect()
+    assert len(expected) > 70 and sorted((r.doc_id, r.words) for r in rows) == sorted(expected)
+
+
+def test_masks_cover_all_placements():
+    for min_words, subs in [*((12, s) for s in range(12)), (24, 5), (30, 9)]:
+        masks = contamination.covering_masks(min_words, subs)
+        share = subs // (min_words // 12)
+        assert all(any(all(m[k] == "0" for k in at) for m in masks) for at in combinations(range(12), share))
+    assert len(contamination.covering_masks(12, 2)) == 6
+
+
 def test_long_texts_come_in_slices(spark):
     import pyarrow as pa
 
