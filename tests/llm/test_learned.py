@@ -114,6 +114,29 @@ def test_no_furniture(line):
     assert link_share(line)[0] == 0.0
 
 
+def test_body_without_cues(spark):
+    """A language that has no cues: repetition on the site and labels are what the tree has; bylines stay."""
+    page = "Dom | Sklep | Szukaj\nStary port i {name}\nBy the Example desk\nW roku {k}{k} rybak nazwał łódź imieniem {name} i wypłynął.\nTa witryna zapisuje ustawienia, aby działać.\n\nMiasto {name} zamknęło most przed burzą.\nWszelkie prawa zastrzeżone {k}"
+    names = ["Adam", "Beata", "Celina", "Dorota", "Edward", "Filip", "Gustaw", "Halina", "Irena", "Jakub", "Karol", "Lidia"]
+    rows = [(k, f"https://www.strona.test/{k}", page.format(k=k, name=n)) for k, n in enumerate(names)] + [(50, None, page.format(k=1, name="Adam")), (51, "https://inna.test/", page.format(k=1, name="Adam"))]
+    table = spark.createDataFrame(rows, "id long, url string, text string")
+    found = {(r.id, r.line_no) for r in body.furniture_lines(table, skip_residue=False).collect()}
+    assert {x for x in found if x[0] < 50} == {(k, n) for k in range(12) for n in (0, 4, 7)}
+    assert {x for x in found if x[0] >= 50} == {(50, 0), (51, 0)}
+    kept = {r.id: r.text for r in body.main_body(table).collect()}
+    assert len(kept) == 14 and kept[0].split("\n") == [rows[0][2].split("\n")[n] for n in (1, 2, 3, 6)]
+
+
+def test_tree_decides():
+    """The same line with the same link share is main body or not by what else its page holds."""
+    line, menu = "Wspólna uwaga o sprawach miasta", "\n".join(f"Dom {c} | Sklep | Szukaj" for c in "abcdefgh")
+    prose = PROSE["en"].replace(". ", ".\n") + "\n"
+    on_prose = body.body_lines(f"{prose}{line}\n{menu[:21]}", Lines(), [0.0] * 4 + [0.05, 1.0])
+    on_menus = body.body_lines(f"{menu}\n{line}", Lines(), [1.0] * 8 + [0.05])
+    assert on_prose[4][:2] == (4, False) and on_menus[8][:2] == (8, True)
+    assert body.body_lines("ok\n•\n" + prose + "Tags: a, b", Lines())[1][:2] == (1, True)
+
+
 def test_long_line():
     assert body.body_lines("word " * 100_000, Lines()) == [(0, True, "text")]
 
