@@ -140,6 +140,20 @@ def test_near_duplicates(spark):
     assert near_duplicates.near_duplicate_classes(table.limit(0))[1].count() == 0
 
 
+def test_low_threshold_keeps_its_pairs(spark):
+    """Pairs just above a low threshold that share two of their five lines: the sketch must not end them."""
+    line = lambda *key: " ".join(f"w{x}" for x in random.Random(repr(key)).sample(range(5000), 20))
+    texts = [(10 * g + k, "\n".join(line(g, 0 if j < 2 else k + 1, j) for j in range(5))) for g in range(15) for k in range(2)]
+    members, links = near_duplicates.near_duplicate_classes(spark.createDataFrame(texts, "id long, text string"), threshold=0.2)
+    assert {(r.class_a, r.class_b) for r in links.collect()} == {(10 * g, 10 * g + 1) for g in range(15)}
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.2, 0.4, 0.45, 0.7, 0.9])
+def test_sketch_loss(threshold):
+    p, n = threshold + (1 - threshold) / 2**near_duplicates.PLANES, near_duplicates.SKETCH
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_duplicates.sketch_match(threshold))) < 3e-6
+
+
 def test_frequent_lines_joined_or_shared(spark, monkeypatch):
     body = [" ".join(f"w{(i * 7 + k * k) % 97}x{i}" for k in range(60)) for i in range(60)]
     table = spark.createDataFrame([(i, b + "\nthe same words at the end of each one") for i, b in enumerate(body)] + [(70, "\n".join(["the same words at the end of each one", *body[3].split("\n")]))], "id long, text string")
