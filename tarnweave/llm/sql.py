@@ -40,6 +40,15 @@ p as (select a.id as id_a, b.id as id_b, count(*) as shared from s a join s b on
 select id_a, id_b from p join n x on x.id = id_a join n y on y.id = id_b where shared >= 0.4::double * (x.n + y.n - shared)
 """
 
+P4_CLASSES = f"""
+with t as (select id, {_TOKENS} as t from pages where id is not null), k as (select id, t, min(id) over (partition by t) as class from t where len(t) >= 50),
+s as materialized (select distinct id, hash(array_to_string(t[i : i + 2], ' ')) as h from (select id, t, unnest(range(1, len(t) - 1)) as i from k where id = class)),
+n as (select id, count(*) as n from s group by id),
+p as (select a.id as a, b.id as b, count(*) as shared from s a join s b on a.h = b.h and a.id <> b.id group by all),
+l as (select a as class, count(*) as links from p join n x on x.id = a join n y on y.id = b where shared >= 0.4::double * (x.n + y.n - shared) group by a)
+select id, class, coalesce(links, 0)::bigint as links from k left join l using (class)
+"""
+
 P9 = f"""
 with d as (select doc_id, {_WORDS} as w from documents), b as (select item_id, {_WORDS} as w from benchmark),
 bw as materialized (select distinct item_id, array_to_string(w[i : i + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from b)),
@@ -55,6 +64,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": P2 + "select query_id, node_id from (select query_id, node_id, row_number() over (partition by query_id order by fused desc, node_id) as k from f where fused is not null) where k <= 3",
         "p3_found": P3 + "select id, term from w where tf >= 4 and df between 2 and 12",
         "p3_weights": P3 + "select id, term, round(pd * ln(pd / pc), 9) as weight from w where df >= 2",
+        "p4_classes": P4_CLASSES,
         "p4_found": P4,
         "p9_found": P9,
     }

@@ -150,8 +150,45 @@ def test_low_threshold_keeps_its_pairs(spark):
 
 @pytest.mark.parametrize("threshold", [0.1, 0.2, 0.4, 0.45, 0.7, 0.9])
 def test_sketch_loss(threshold):
-    p, n = threshold + (1 - threshold) / 2**near_duplicates.PLANES, near_duplicates.SKETCH
-    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_duplicates.sketch_match(threshold))) < 3e-6
+    p = threshold + (1 - threshold) / (2**near_duplicates.PLANES - 1)
+    for n in (20, 64, near_duplicates.BINS):
+        least = math.ceil(near_duplicates.sketch_match(threshold, n))
+        assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(max(0, least))) < 1e-4
+
+
+def test_sketches():
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 2**64, 300, dtype=np.uint64), rng.integers(0, 2**64, 300, dtype=np.uint64)
+    rows = near_duplicates.sketches(np.concatenate([a, np.concatenate([a[:200], b[:100]]), b]), [300, 300, 300])
+    bins = [sum(np.unpackbits(r.reshape(near_duplicates.PLANES, -1)[j].view(np.uint8)).astype(int) << j for j in range(near_duplicates.PLANES)) for r in rows]
+    for x, hashes in ((bins[0], a), (bins[2], b)):
+        for k in range(near_duplicates.BINS):
+            own = [h % 2**47 for h in hashes.tolist() if h >> 57 == k]
+            assert x[k] == (min(own) % 255 + 1 if own else 0)
+    assert 0.35 < (bins[0] == bins[1]).mean() < 0.75 > 0.1 > (bins[0] == bins[2]).mean()
+
+
+def test_anchors_alone_find_the_pairs(spark):
+    """Copies with other line breaks and an edit in every line meet; what is compared grows no faster than the records."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+
+    def table(n):
+        texts = []
+        for g in range(n):
+            base = [rng.choice(words) for _ in range(150)]
+            other = [rng.choice(words) if k % 25 == 24 else w for k, w in enumerate(base)]
+            texts += [(2 * g, "\n".join(" ".join(base[k : k + 15]) for k in range(0, 150, 15))), (2 * g + 1, "\n".join(" ".join(other[k : k + 25]) for k in range(0, 150, 25)))]
+        return spark.createDataFrame(texts, "id long, text string")
+
+    compared = []
+    for n in (100, 1000):
+        src = table(n)
+        _, heads, blocks = near_duplicates._classes(src)
+        compared.append(near_duplicates.compared(near_duplicates.kept_parts(heads, 0.4, blocks).cache(), blocks).count())
+    assert compared[1] <= 12 * compared[0]
+    links = {(r.class_a, r.class_b) for r in near_duplicates.near_duplicate_classes(src)[1].collect()}
+    assert links == {(2 * g, 2 * g + 1) for g in range(1000)}
 
 
 def test_frequent_lines_joined_or_shared(spark, monkeypatch):
@@ -165,17 +202,22 @@ def test_frequent_lines_joined_or_shared(spark, monkeypatch):
 
 def test_covering_codes():
     rng = np.random.default_rng(2)
-    for code, n in zip(near_duplicates._codes(), (23, 7), strict=True):
-        words = rng.integers(0, 2**n, 300)
-        homes = code.home(words)
-        assert not code.syndrome(homes).any()
-        assert max(bin(x).count("1") for x in (homes ^ words).tolist()) <= code.radius
-        flipped = words ^ (1 << rng.integers(0, n, 300))
-        at, near = code.anchors(flipped)
+    for parts in (0, 1, 2**16, 2**16 + 1, 10**6, 10**7, 10**8, 10**9, 10**13):
+        blocks = near_duplicates.cover(parts)
+        bits = 12 * blocks[0] + 4 * blocks[1]
+        assert 12 <= bits <= 32 and (2**bits >= parts or bits == 32) and near_duplicates.width(blocks) <= 62
+        codes = near_duplicates._codes(blocks)
+        words = rng.integers(0, 2 ** near_duplicates.width(blocks), 200)
+        homes = near_duplicates.home_anchors(words, codes)
+        for at, code in codes:
+            own = (homes >> at) & (2**code.n - 1)
+            assert not code.syndrome(own).any()
+            assert max(bin(x).count("1") for x in (own ^ ((words >> at) & (2**code.n - 1))).tolist()) <= code.radius
+        flipped = words ^ (np.int64(1) << rng.integers(0, near_duplicates.width(blocks), 200))
         reached = defaultdict(set)
-        for k, a in zip(at.tolist(), near.tolist(), strict=True):
+        for k, a in zip(*(x.tolist() for x in near_duplicates.near_anchors(flipped, codes)), strict=True):
             reached[k].add(a)
-        assert all(h in reached[k] for k, h in enumerate(homes.tolist()))
+        assert all(h in reached[k] or h == near_duplicates.home_anchors(flipped[k : k + 1], codes)[0] for k, h in enumerate(homes.tolist()))
 
 
 # problem 8
