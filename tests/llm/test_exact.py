@@ -184,7 +184,7 @@ def test_anchors_alone_find_the_pairs(spark):
     compared = []
     for n in (100, 1000):
         src = table(n)
-        _, heads, blocks = near_duplicates._classes(src)
+        _, heads, blocks, _ = near_duplicates._classes(src)
         compared.append(near_duplicates.compared(near_duplicates.kept_parts(heads, 0.4, blocks).cache(), blocks).count())
     assert compared[1] <= 12 * compared[0]
     links = {(r.class_a, r.class_b) for r in near_duplicates.near_duplicate_classes(src)[1].collect()}
