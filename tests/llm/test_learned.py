@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tarnweave.llm import body, language, residue, stuffing
@@ -157,8 +158,20 @@ def test_stuffing(spark):
         *prose, PROSE["en"] + "\nSee https://www.site.test/a and https://www.site.test/b\nTags: one, two, three", "short, list, of, words", None, "", prose[0].lower().replace(".", ""), "\n".join(PROSE["en"].split(". ")),
         "> " + PROSE["en"].replace(" the ", " the\n> "), long_text,
     ]
-    assert stuffing.stuffed_words(long_text, None, {})[1] > 100_000
+    measure = stuffing.Measure()
+    assert sum(measure(b)[0] for b in stuffing.blocks(long_text)) > 100_000
     rows = [(k, t, "en", 1) for k, t in enumerate(cases)] + [(100 + k, t, None, 1) for k, t in enumerate(others)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, words int")
     assert {r.doc_id for r in stuffing.stuffed_documents(table).collect()} == set(range(len(cases)))
     assert stuffing.stuffed_documents(table.limit(0)).count() == 0
+
+
+def test_block_measures():
+    measure = stuffing.Measure()
+    prose, tags, links = PROSE["en"], "stone river " * 30, "\n".join(f"word{k} other{k * k} - http://site{k}.test/{k}" for k in range(10))
+    rows = {name: np.array([measure(b) for b in stuffing.blocks(t)]) for name, t in (("prose", prose), ("tags", tags), ("links", links))}
+    assert rows["tags"][0, 2] < rows["prose"][0, 2] and rows["links"][0, 4] < rows["prose"][0, 4]
+    assert rows["prose"][0, 5] > 0.9 and rows["tags"][:, 5].max() == rows["links"][:, 5].max() == 0
+    assert measure(stuffing.blocks(prose)[0]) == stuffing.Measure()(stuffing.blocks(prose)[0])  # the compressor forgets
+    quoted = "> The old harbour\n> keeps the garden.\nName\nother"
+    assert stuffing.unwrapped(quoted) == ["the old harbour keeps the garden.", "name", "other"]
