@@ -1,31 +1,41 @@
 """Problem 5: pages of template residue, filler, error messages and demands for scripts.
 
-Three character n-gram models (order 4, interpolated): filler and error notices from the seeds below, natural prose from
+Character n-gram models (order 4, interpolated): filler and error notices from the seeds below, natural prose from
 a bounded sample of the collection's pages (SAMPLE_PAGES, by the least hash of the id). A line's words get the
 log-likelihood ratio of the better residue model to natural prose; windows of WINDOW words whose mean ratio a character is
-above THRESHOLD are residue. A page is a case if residue covers more words than its sentences do, furniture of the site
-apart, or if a placeholder or the mark of an empty value stands where a value belongs, which an exact check confirms:
-marks inside quotes or code ticks are talked about, not left over.
+above THRESHOLD are residue. A page is a case if residue covers more words than its sentences do, furniture apart.
+
+Placeholders are found by the same models over the shape of words (each run of letters one sign): forms of placeholders against all
+words of the sample. What is found counts unless an exact check finds it inside quotes or code ticks, talked about and not left over, or
+a tag of HTML. Marks of empty values are an exact list.
+
+What is furniture is learned, too: words of lines that several pages of the sample share, pages of residue apart, against words of lines
+that one page has.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Mapping
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.llm.arrow import Memo, map_batches
-from tarnweave.llm.furniture import Lines
+from tarnweave.llm.sampling import SAMPLE_CHARS, balanced_sample
 
 ORDER = 4
 WINDOW = 3
 THRESHOLD = 0.12
 #: Words of residue that a case has at least: a short title is none.
 MIN_RESIDUE = 3
+#: Log-likelihood ratio of a word's shape that makes it a part of a placeholder.
+SHAPE = 3.0
+#: Pages of the sample that share a line of furniture, and log odds that make another line one.
+SHARED, FURNITURE = 3, 2.0
 SAMPLE_PAGES = 3600
 LANGUAGES = ("en", "de", "fr", "es", "it", "nl", "pt", "ru")
 
@@ -65,58 +75,68 @@ Blindtext, bitte ersetzen. Hier steht später Ihr Text. Platzhalter für Ihren T
 Voorbeeldtekst, nog te vervangen. Hier komt uw tekst. Texto de exemplo, a substituir. O seu texto aqui. Пробный текст, замените его. Здесь будет ваш текст. Текст для примера, заменить.
 """
 
-_NAME = r"[A-Za-z][A-Za-z_. -]{0,30}"
-# Forms of unfilled template parts, and of empty values.
-PLACEHOLDER = re.compile(
-    rf"\{{\{{\s*{_NAME}\s*\}}\}}|[$#]\{{\s*{_NAME}\s*\}}|<%=?\s*{_NAME}\s*%>|\{{%\s*{_NAME}\s*%?\}}|\[\[\s*{_NAME}\s*\]\]|@@{_NAME}@@|__[A-Z][A-Z_.]{{1,30}}__|%[A-Z][A-Z_.]{{1,30}}%|\$[a-z][a-z_.]{{1,30}}\$"
-    rf"|\[(?:insert|your)\s{_NAME}\]|\{{[a-z][a-z_.]{{1,30}}\}}|<[a-z]+(?:[-_.][a-z]+)*>|\{{\{{\s*{_NAME}|\{{%\s*{_NAME}|\[\[{_NAME}|<%=\s*{_NAME}",
-    re.I,
-)
+# Forms of unfilled template parts; a stands for any name.
+PLACEHOLDERS = """
+{{a}} {{ a }} {{a.a}} {{a_a}} {{ a_a }} {{a0}} ${a} ${a_a} ${a.a} ${a0} #{a} #{a_a} #{a.a} {% a a %} {% a_a %} {%a%} <%= a %> <%= a.a %> <%=a%> <% a %> [[a]] [[a_a]] [[ a ]] [[a.a]]
+@@a@@ @@a_a@@ @@a0@@ __a__ __a_a__ __a_0__ __a.a__ %a% %a_a% %a.a% %a_0% $a$ $a_a$ $a.a$ {a} {a_a} {a.a} {a0} <a-a> <a_a> <a.a> <a> [a a a] [a a a a] [a a] [a_a a] [a.a a]
+""".split("\n")
 _HTML_TAGS = frozenset("a b i p br em ul ol li h1 h2 h3 h4 hr tt td tr th div pre sup sub code span html body head main strong table title".split())
 EMPTY_MARK = re.compile(r"\bN/A \(null\)|\bundefined – NaN\b|\bnull, null\b|\(not set\)|\bundefined undefined\b|\bNaN:NaN\b", re.I)
 EMPTY_LINE = re.compile(r"^(?:[#*•-]\s*)?(?:\w+\s?:\s*|by\s+)?(?:n/a|null|undefined|nan|none|nil|\(null\)|\(not set\)|\[object object\])(?:[\s,;/–-]+(?:n/a|null|undefined|nan|none|nil|\(null\)))*$", re.I)
 _OPEN, _CLOSE = "\"'`“„«‘‹»”", "\"'`”“»’›«"
 _WORD = re.compile(r"[^\W_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_SIGNS = re.compile(r"[{}\[\]<>%$@]|__")
+_SUSPECT = re.compile(r"[{}\[\]<>%$@]|__|n(?:ull|an\b|/a|ot set|one|il)|undefined|object")
+_EMPTY = re.compile(r"n(?:ull|an\b|/a|ot set|one|il)|undefined|object")
 _DIGITS = re.compile(r"\d+")
 _END = re.compile(r"[.!?…][\"”»)\]]*$")
 
 
-def unfilled(line: str) -> bool:
-    """Whether a placeholder or an empty-value mark stands in the line outside of quotes and code ticks."""
-    if "{" in line or "[" in line or "<" in line or "%" in line or "@@" in line or "__" in line or "$" in line:
-        for m in PLACEHOLDER.finditer(line):
-            a, b = m.span()
-            if a and line[a - 1] in _OPEN and b < len(line) and line[b] in _CLOSE:
-                continue
-            if m[0][0] == "<" and m[0][1] != "%" and m[0][1:-1].lower() in _HTML_TAGS:
-                continue
+def shape(word: str) -> str:
+    """A word with each run of letters as `a` and each run of digits as `0`."""
+    return _DIGITS.sub("0", _LETTERS.sub("a", word))
+
+
+def empty_value(line: str, low: str) -> bool:
+    """Whether the mark of an empty value stands in the line (`low`: in lower case) outside of quotes and code ticks."""
+    if not _EMPTY.search(low):
+        return False
+    for m in EMPTY_MARK.finditer(line):
+        a, b = m.span()
+        if not (a and line[a - 1] in _OPEN and b < len(line) and line[b] in _CLOSE):
             return True
-    low = line.lower()
-    if "null" in low or "undefined" in low or "nan" in low or "n/a" in low or "not set" in low:
-        for m in EMPTY_MARK.finditer(line):
-            a, b = m.span()
-            if not (a and line[a - 1] in _OPEN and b < len(line) and line[b] in _CLOSE):
-                return True
-        return bool(EMPTY_LINE.match(line))
-    return False
+    return bool(EMPTY_LINE.match(line))
 
 
 def _text(raw: str) -> str:
     return " ".join(raw.split()).lower()
 
 
+def _split(text: str | None) -> list[tuple[str, str, str]]:
+    return [(raw, "", "") for raw in text.split("\n")] if text else []
+
+
 class CharModel:
     """Interpolated character n-grams over lower-case text with single spaces, digits as 0."""
 
-    def __init__(self, texts: list[str], smooth: float = 2.0):
+    def __init__(self, texts: Iterable[str] | Mapping[str, int], smooth: float = 2.0):
+        """`texts` may map texts to their numbers."""
         self.smooth = smooth
         self.grams: list[Counter] = [Counter() for _ in range(ORDER)]
         self.heads: list[Counter] = [Counter() for _ in range(ORDER)]
         for t in texts:
+            times = texts[t] if isinstance(texts, Mapping) else 1
             t = "  " + t + " "
             for n in range(ORDER):
-                self.grams[n].update(t[i - n : i + 1] for i in range(max(2, n), len(t)))
-                self.heads[n].update(t[i - n : i] for i in range(max(2, n), len(t)))
+                grams, heads = self.grams[n], self.heads[n]
+                if times == 1:
+                    grams.update([t[i - n : i + 1] for i in range(max(2, n), len(t))])
+                    heads.update([t[i - n : i] for i in range(max(2, n), len(t))])
+                    continue
+                for i in range(max(2, n), len(t)):
+                    grams[t[i - n : i + 1]] += times
+                    heads[t[i - n : i]] += times
 
     def logp(self, context: str, ch: str) -> float:
         p = 1 / 200
@@ -126,49 +146,114 @@ class CharModel:
         return math.log(p)
 
 
+class Furniture:
+    """Naive Bayes over the words of a line: shared by pages of a sample, or of one page only.
+
+    A line counts as shared if it stands before SHARED different lines and after as many, which the lines of copies don't.
+    """
+
+    def __init__(self, pages: list[list[str]], prior: float = 20.0):
+        before, after = defaultdict(set), defaultdict(set)
+        for lines in pages:
+            for a, b in zip(["", *lines], [*lines, ""], strict=True):
+                before[b].add(a)
+                after[a].add(b)
+        around = {x: min(len(before[x]), len(after[x])) for x in before if x}
+        shared, single = ([set(_LETTERS.findall(x)) for x, n in around.items() if (n >= SHARED if many else n == 1)] for many in (True, False))
+        many, few = (Counter(w for x in part for w in x) for part in (shared, single))
+        self.odds = {}
+        for w in many.keys() | few.keys():
+            rate = (many[w] + few[w]) / max(1, len(shared) + len(single))
+            x = math.log((many[w] + prior * rate) / (len(shared) + prior)) - math.log((few[w] + prior * rate) / (len(single) + prior))
+            if many[w] + few[w] >= 2 and abs(x) > 0.1:
+                self.odds[w] = x
+
+    def __call__(self, word: str) -> float:
+        """Log odds that a word adds."""
+        return sum(self.odds.get(w, 0.0) for w in _LETTERS.findall(word))
+
+
 class ResidueModel:
-    """The three models; `judge(texts)` decides."""
+    """The models; `judge(texts)` decides."""
 
-    def __init__(self, natural: list[str], filler: str = FILLER, errors: str = ERRORS):
+    def __init__(self, texts: list[str], filler: str = FILLER, errors: str = ERRORS):
+        """Learns natural prose from the sentences of eight words or more of the sampled `texts`, whose residue is left out of the furniture."""
         clean = lambda t: re.sub(r"\d+", "0", _text(t))
         self.residue = [CharModel([clean(x) for x in re.split(r"\n|(?<=[.!?])\s", src) if x.strip()]) for src in (filler, errors)]
-        self.natural = CharModel([clean(x) for x in natural])
+        words = Counter(w for t in texts for w in t.split())
+        shapes: Counter = Counter()
+        for w, n in words.items():
+            shapes[shape(w)] += n
+        self.shapes = CharModel([w for x in PLACEHOLDERS for w in x.split()]), CharModel(shapes)
+        self.furniture = None
+        self.open()
+        prose = [s for t in texts for line in t.split("\n") for s in re.split(r"(?<=[.!?])\s+", line) if len(s.split()) >= 8 and not self.left_over(" ".join(s.split()), s.lower())]
+        self.natural = CharModel([clean(x) for x in prose])
+        sound = [t for t, verdict in zip(texts, self.judge(texts), strict=True) if not verdict[0]]
+        self.furniture = Furniture([[x for x in map(clean, t.split("\n")) if x] for t in sound])
+        self.open()
 
     def open(self) -> None:
-        """Worker-side caches: a row of `_rows` per distinct word, and verdicts of repeated lines."""
+        """Worker-side caches: a row of `_rows` per distinct word, and what is known of repeated lines."""
         self._index = Memo(self._word, 10**9)  # emptied together with the rows
-        self._rows: list[tuple[float, float, float]] = []
-        self.lines = Lines()
+        self._rows: list[tuple[float, float, float, float]] = []
+        self._lines: dict[str, tuple[bool, str, list[int]]] = {}
+        self._marks = Memo(self._mark)
+        self._grams = Memo(self._gram)
 
     def __getstate__(self):
-        return {"residue": self.residue, "natural": self.natural}
+        return {k: getattr(self, k) for k in ("residue", "natural", "shapes", "furniture")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.open()
 
     def _word(self, word: str) -> int:
-        out = [0.0, 0.0]
-        context = "  "
-        for ch in word[:40] + " ":
-            base = self.natural.logp(context, ch)
-            for k, m in enumerate(self.residue):
-                out[k] += m.logp(context, ch) - base
-            context = (context + ch)[-ORDER:]
-        self._rows.append((out[0], out[1], float(min(len(word), 40) + 1)))
+        grams = self._grams
+        padded = f"  {word} "
+        ratios = [grams[padded[max(0, k - ORDER) : k + 1]] for k in range(2, len(padded))]
+        self._rows.append((sum([x for x, _ in ratios]), sum([x for _, x in ratios]), float(len(word) + 1), self.furniture(word) if self.furniture else 0.0))
         return len(self._rows) - 1
 
-    def residue_words(self, lines: list[list[str]]) -> np.ndarray:
-        """Number of words inside residue windows, per line; a line of fewer than WINDOW words is one window."""
-        sizes = np.array([len(x) for x in lines])
-        if len(self._index) > 250_000:
-            self._index.clear()
-            self._rows.clear()
+    def _gram(self, gram: str) -> tuple[float, float]:
+        """Log-likelihood ratios of a character after those before it."""
+        context, ch = gram[:-1], gram[-1]
+        base = self.natural.logp(context, ch)
+        filler, errors = (m.logp(context, ch) - base for m in self.residue)
+        return filler, errors
+
+    def _mark(self, form: str) -> bool:
+        total, context = 0.0, "  "
+        for ch in form + " ":
+            total += self.shapes[0].logp(context, ch) - self.shapes[1].logp(context, ch)
+            context = (context + ch)[-ORDER:]
+        return total > SHAPE
+
+    def left_over(self, line: str, low: str) -> bool:
+        """Whether a placeholder stands in the line (single spaces; `low`: in lower case) outside of quotes, or the mark of an empty value."""
+        if not _SUSPECT.search(low):
+            return False
+        if _SIGNS.search(line):
+            words = line.split(" ")
+            for k, w in enumerate(words):
+                if _SIGNS.search(w) and self._marks[shape(w)]:
+                    quoted = w[0] in _OPEN and any(x and x.rstrip(".,;:!?)")[-1:] in _CLOSE for x in [w[1:], *words[k + 1 :]] if x.rstrip(".,;:!?)"))
+                    if not quoted and not (w[0] == "<" and w.strip("<>/.,;:").lower() in _HTML_TAGS):
+                        return True
+        return empty_value(line, low)
+
+    def _line(self, line: str, low: str) -> tuple[bool, str, list[int]]:
+        """Of a line with single spaces, and in lower case with digits as 0: left over, the latter, its words."""
         index = self._index
-        flat = np.array([index[w] for x in lines for w in x])
+        return self.left_over(line, low), low, [index[w] for w in low.split(" ")]
+
+    def _hot(self, lines: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Per line: number of words inside residue windows (a line of fewer than WINDOW words is one window), and whether it is furniture."""
+        sizes = np.array([len(x) for x in lines])
+        flat = np.array([w for x in lines for w in x])
         rows = np.array(self._rows)[flat]
         rows = np.concatenate([rows, rows[:, :2] > 0], axis=1)
-        total = np.concatenate([np.zeros((1, 5)), np.cumsum(rows, axis=0)])
+        total = np.concatenate([np.zeros((1, 6)), np.cumsum(rows, axis=0)])
         end = np.cumsum(sizes)
         start = end - sizes
         line = np.repeat(np.arange(len(sizes)), sizes)
@@ -177,40 +262,49 @@ class ResidueModel:
         begin = np.where(stop - at < WINDOW, np.maximum(stop - WINDOW, start[line]), at)
         span = total[stop] - total[begin]
         most = np.minimum(2, stop - begin)[:, None]  # no single odd word makes a window
-        hot = ((span[:, :2] > THRESHOLD * span[:, 2:3]) & (span[:, 3:] >= most)).any(axis=1)
+        hot = ((span[:, :2] > THRESHOLD * span[:, 2:3]) & (span[:, 4:] >= most)).any(axis=1)
         edge = np.zeros(len(flat) + 1, dtype=np.int64)
         np.add.at(edge, begin[hot], 1)
         np.add.at(edge, stop[hot], -1)
         inside = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-        return inside[end] - inside[start]
-
-    def judge(self, texts: list[str | None]) -> list[tuple[bool, int, int]]:
-        """Per text: is it a case, its residue words, its sentence words."""
+        return inside[end] - inside[start], total[end, 3] - total[start, 3] > FURNITURE
+
+    def judge(self, texts: list[str | None], split: list[list[tuple[str, str, str]]] | None = None) -> list[tuple[bool, int, int]]:
+        """Per text: is it a case, its residue words, its sentence words (0 where residue is too little for a case).
+
+        `split` may give the lines of each text that aren't blank: as they are, with single spaces, and so in lower case with digits as 0.
+        """
+        if len(self._rows) > 150_000:
+            self.open()
+        if len(self._lines) > 50_000:
+            self._lines.clear()
+        known = self._lines
         n_texts = len(texts)
-        left_over, owner, sentences, lines = [False] * n_texts, [], [], []
+        left_over, owner, lows, lines = [False] * n_texts, [], [], []
         for k, text in enumerate(texts):
-            if not text:
-                continue
-            for raw in text.split("\n"):
-                words = raw.split()
-                if not words:
-                    continue
-                line = " ".join(words)
-                if not left_over[k] and unfilled(line):
-                    left_over[k] = True
-                share, kind = self.lines(line)
-                if share >= 0.5:
-                    continue
-                n = len(words)
+            for raw, line, low in split[k] if split else _split(text):
+                got = known.get(raw)
+                if got is None:
+                    line = line or " ".join(raw.split())
+                    if not line:
+                        continue
+                    got = self._line(line, low or _DIGITS.sub("0", line.lower()))
+                    if len(raw) <= 100:
+                        known[raw] = got
+                left_over[k] |= got[0]
                 owner.append(k)
-                sentences.append(n >= 6 and kind == "text" and (n >= 14 or _END.search(line) is not None))
-                lines.append(_DIGITS.sub("0", line.lower()).split(" "))
+                lows.append(got[1])
+                lines.append(got[2])
         residue, sentence = [0] * n_texts, [0] * n_texts
         if lines:
-            for k, is_sentence, n, bad in zip(owner, sentences, map(len, lines), self.residue_words(lines).tolist(), strict=True):
+            hot, furniture = self._hot(lines)
+            bad_of = np.bincount(owner, weights=hot, minlength=n_texts)
+            # below that a page is never a case by its residue
+            for j in np.flatnonzero(bad_of[owner] >= MIN_RESIDUE).tolist():
+                k, n, bad = owner[j], len(lines[j]), int(hot[j])
                 if bad >= 0.6 * n:
                     residue[k] += bad
-                elif is_sentence:
+                elif n >= 6 and not furniture[j] and (n >= 14 or _END.search(lows[j])):
                     sentence[k] += n - bad
                     residue[k] += bad if bad > 2 else 0
         return [(left_over[k] or (residue[k] >= MIN_RESIDUE and residue[k] > sentence[k]), residue[k], sentence[k]) for k in range(n_texts)]
@@ -219,24 +313,12 @@ class ResidueModel:
         return self.judge([text])[0]
 
 
-def fit(pages: DataFrame, *, id_col: str = "id", text_col: str = "text", label_col: str = "lang", sample_pages: int = SAMPLE_PAGES) -> ResidueModel:
-    """Natural prose from the sample's sentences of eight words or more.
+def fit(pages: DataFrame, *, id_col: str = "id", text_col: str = "text", label_col: str = "lang", sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> ResidueModel:
+    """Learns from at most `sample_pages` pages, as many of each declared language (first two letters), so that rare ones are learned too.
 
-    The sample takes as many pages of each declared language (first two letters), so that rare ones are learned too;
-    at most `sample_pages` texts, of 20,000 characters each, reach the driver. All else covers every page whole.
+    All else covers every page whole.
     """
-    label = F.lower(F.substring(F.coalesce(F.trim(F.col(label_col)), F.lit("")), 1, 2)) if label_col in pages.columns else F.lit("")
-    known = F.when(label.isin(*LANGUAGES), label).otherwise("")
-    rows = pages.where(F.length(text_col) > 0).select(F.substring(text_col, 1, 20_000).alias("t"), F.xxhash64(id_col).alias("h"), known.alias("l"))
-    order = Window.partitionBy("l").orderBy("h")
-    sample = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_pages // (len(LANGUAGES) + 1)).select("t")
-    prose = []
-    for r in sample.collect():
-        for line in r["t"].split("\n"):
-            for s in re.split(r"(?<=[.!?])\s+", line):
-                if len(s.split()) >= 8 and not unfilled(s):
-                    prose.append(s)
-    return ResidueModel(prose)
+    return ResidueModel([t for _, t in balanced_sample(pages, list(LANGUAGES), id_col=id_col, text_col=text_col, label_col=label_col, sample_pages=sample_pages, others=True, sample_chars=sample_chars)])
 
 
 def residue_pages(pages: DataFrame, model: ResidueModel | None = None, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
