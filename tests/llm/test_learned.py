@@ -1,12 +1,15 @@
 """Operators that judge texts: written cases of each kind, and held-out accuracy."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from tarnweave.llm import body, language, residue, stuffing
-from tarnweave.llm.furniture import Lines, link_share
+from tarnweave.llm.arrow import Memo
+from tarnweave.llm.furniture import form
+from tarnweave.llm.sampling import balanced_sample
 
 PROSE = {
     "en": "The old harbour keeps the remote garden in the morning. Nobody in the village closes the small museum before the storm. Since the winter every boat has a new sail and a quiet crew. The bridge was broken and the road became very long.",
@@ -39,7 +42,10 @@ NO_CASES = [
 
 def test_residue(spark):
     rows = [(k, None, t, None) for k, t in enumerate(CASES + NO_CASES)]
-    found = residue.residue_pages(corpus(spark, rows))
+    rows += [(50 + k, None, f"Title\n{PROSE['en']}\nBy {mark} {PROSE['de']}", None) for k, mark in enumerate(["${line1}", "%FIELD_2%", "@@name1@@", "{item2}", "{{ " + "very_" * 12 + "long }}", "[[some name]]", "<%= x %>"])]
+    found = residue.residue_pages(corpus(spark, rows)).where("id < 50 or id >= 57")
+    marked = residue.residue_pages(corpus(spark, rows)).where("id >= 50 and id < 57")
+    assert marked.count() == 7
     assert {r.id for r in found.collect()} == set(range(len(CASES)))
     assert residue.residue_pages(corpus(spark).limit(0)).count() == 0
 
@@ -59,6 +65,41 @@ def test_languages(spark):
     assert language.languages(corpus(spark).limit(0)).count() == 0
 
 
+def test_priors_decide_where_words_say_little(spark):
+    """The same names on a German and on a French host: the host, counted over its other pages, turns the verdict."""
+    names = "Zk " + " ".join(map(str, range(30)))
+    rows = [(10 * j + k, f"https://{code}host.test/{k}", PROSE[code], code) for j, code in enumerate(("de", "fr")) for k in range(8)] + [(100, "https://dehost.test/x", names, None), (101, "https://frhost.test/x", names, None)]
+    found = {r.id: r for r in language.languages(corpus(spark, rows), skip_residue=False).where("line_no = -1").collect()}
+    assert (found[100].lang, found[101].lang) == ("de", "fr")
+    assert found[100].confidence < 0.9 < found[0].confidence
+
+
+def test_confidence_is_calibrated():
+    """Pieces of a few words of pages that the model has not seen: of those given a confidence, about as many are right."""
+    rows = spark_pages("/root/testdata/sf0.01/pages.parquet")
+    model = language.LanguageModel([(language.LANGUAGES.index(c), [language.words_of(x) for x in t.split("\n")]) for k, c, t in rows if k % 2 and c in language.LANGUAGES])
+    sure, right, bins, scores = 0.0, 0, set(), Memo(model.word)
+    n = 0
+    for k, _, t in rows:
+        words = language.words_of(t.replace("\n", " "))
+        if k % 2 or len(words) < 60:
+            continue
+        each = np.array([scores[w] for w in words])
+        main = each.sum(axis=0).argmax()
+        for size in (1, 2, 4):
+            for at in range(0, len(words) - size, 30):
+                p = language.posterior(each[at : at + size].sum(axis=0)[None, :], np.array([size]), model.weight)[0]
+                n, sure, right = n + 1, sure + p.max(), right + (p.argmax() == main)
+                bins.add(int(p.max() * 5))
+    assert n > 3000 and len(bins) >= 4 and abs(sure - right) < 0.05 * n
+
+
+def spark_pages(path):
+    import duckdb
+
+    return duckdb.connect().execute(f"select id, lower(left(trim(lang), 2)), text from '{path}' where text is not null").fetchall()
+
+
 def test_languages_hold_out(spark):
     """Learned on one half of the pages, held against the labels of the other half; some labels are wrong on purpose."""
     table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
@@ -93,53 +134,96 @@ Share this page with your friends
 Back to top"""
 
 
-def test_body(spark):
-    text = PAGE.format(prose=PROSE["en"])
-    table = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "", 0), (4, text.replace(" ", "  ").replace("\n", "\r\n"), 0), (5, "Back\nError 404: the page you asked for could not be found.", 0)], "id long, text string, kind int")
-    rows = body.furniture_lines(table, residue.ResidueModel([s for t in PROSE.values() for s in t.split(". ")])).collect()
-    expected = {0, 1, 4, 10, 11, 14, 15, 16, 17, 18, 19, 20}
-    assert {r.line_no for r in rows if r.id == 1} == expected == {r.line_no for r in rows if r.id == 4}
-    assert {r.id for r in rows} == {1, 4}
-    kept = {r.id: r.text for r in body.main_body(table).collect()}
-    assert kept[1].split("\n") == [x for k, x in enumerate(text.split("\n")) if k not in expected and x.strip()]
-    assert kept[2] is None and kept[3] == ""
+SITE_PAGES = 40
 
 
-@pytest.mark.parametrize("line", ["Shop Press Archive Support News", "Startseite", "MEISTGELESEN", "Alle Rechte vorbehalten bei X. Weitergabe nur mit schriftlicher Erlaubnis.", "→ Das Haus", "Lees ook: de haven", "Метки: сад, дом", "Visiteurs du jour : 12", "Partagé 7 fois"])
-def test_furniture(line):
-    assert link_share(line)[0] == 1.0
+def site_pages():
+    """Pages of one site: the same furniture around other bodies; bylines repeat as well."""
+    rng = random.Random(3)
+    names = ["".join(rng.choice("bdfglmnrst") + rng.choice("aeiou") for _ in range(3)).title() for _ in range(400)]
+    name = lambda: rng.choice(names)
+    for k in range(SITE_PAGES):
+        prose = " ".join(f"The {name()} of {name()} keeps the {name()} near {name()}." for _ in range(4))
+        yield k, (
+            f"Home | News | About us | Contact\nYou are here: News › {name()} and {name()}\n{name()} and {name()} of the north\nBy the Example desk\nWe use cookies to keep Example running and to count visits. Accept all or choose settings.\n\n"
+            f"{prose}\nA short subheading by {name()}\n• First {name()} of the article\n• Second {name()}\nRelated: How one {name()} found {name()}\n» Another {name()} of this site\nEditors' note: an earlier version gave {name()} a wrong date.\n\n"
+            f"Most read\n1. How one {name()} found the header\n2. Cache and {name()} in the north\nTags: {name()}, {name()}\nShare this page with your friends\n© 2021 Example\nVisitors today: {k}"
+        )
 
 
-@pytest.mark.parametrize("line", ["The archive and the news of the small harbour", "Von der Redaktion Beispiel", "Notebook and site in the valley, 12", "* An item", "Nota: una versione precedente dava un'altra data.", "", "x" * 5000])
-def test_no_furniture(line):
-    assert link_share(line)[0] == 0.0
+FURNITURE = {0, 1, 4, 10, 11, 14, 15, 16, 17, 18, 19, 20}
 
 
-def test_body_without_cues(spark):
-    """A language that has no cues: repetition on the site and labels are what the tree has; bylines stay."""
-    page = "Dom | Sklep | Szukaj\nStary port i {name}\nBy the Example desk\nW roku {k}{k} rybak nazwał łódź imieniem {name} i wypłynął.\nTa witryna zapisuje ustawienia, aby działać.\n\nMiasto {name} zamknęło most przed burzą.\nWszelkie prawa zastrzeżone {k}"
-    names = ["Adam", "Beata", "Celina", "Dorota", "Edward", "Filip", "Gustaw", "Halina", "Irena", "Jakub", "Karol", "Lidia"]
-    rows = [(k, f"https://www.strona.test/{k}", page.format(k=k, name=n)) for k, n in enumerate(names)] + [(50, None, page.format(k=1, name="Adam")), (51, "https://inna.test/", page.format(k=1, name="Adam"))]
-    table = spark.createDataFrame(rows, "id long, url string, text string")
+def test_body(spark):
+    texts = dict(site_pages())
+    rows = [(k, f"https://www.site.test/{k}", t.replace(" ", "  ").replace("\n", "\r\n") if k == 7 else t, 0) for k, t in texts.items()] + [(90, "https://www.site.test/a", None, 0), (91, "https://www.site.test/b", "", 0), (92, "https://www.site.test/c", "Back\nError 404: the page you asked for could not be found.", 0)]
+    table = spark.createDataFrame(rows, "id long, url string, text string, kind int")
+    model = residue.ResidueModel([*PROSE.values(), *texts.values()])
     found = {(r.id, r.line_no) for r in body.furniture_lines(table, skip_residue=False).collect()}
-    assert {x for x in found if x[0] < 50} == {(k, n) for k in range(12) for n in (0, 4, 7)}
-    assert {x for x in found if x[0] >= 50} == {(50, 0), (51, 0)}
+    assert {x for x in found if x[0] < 90} == {(k, n) for k in texts for n in FURNITURE}
+    cases = {r.id for r in residue.residue_pages(table, model).collect()}
+    assert 92 in cases and {(r.id, r.line_no) for r in body.furniture_lines(table, model).collect()} == {x for x in found if x[0] not in cases}
     kept = {r.id: r.text for r in body.main_body(table).collect()}
-    assert len(kept) == 14 and kept[0].split("\n") == [rows[0][2].split("\n")[n] for n in (1, 2, 3, 6)]
+    assert kept[1].split("\n") == [x for k, x in enumerate(texts[1].split("\n")) if k not in FURNITURE and x.strip()]
+    assert kept[90] is None and kept[91] == "" and len(kept) == len(rows)
+    assert body.furniture_lines(table.limit(0), model).count() == body.main_body(table.limit(0)).count() == 0
+
+
+def test_body_of_pages_without_url(spark):
+    """They count as one site; a site of few pages has its form only."""
+    rows = [(k, None if k < 30 else f"https://s{k}.test/", t) for k, t in site_pages()]
+    found = {(r.id, r.line_no) for r in body.furniture_lines(spark.createDataFrame(rows, "id long, url string, text string"), skip_residue=False).collect()}
+    assert {x for x in found if x[0] < 30} == {(k, n) for k in range(30) for n in FURNITURE}
+    assert {x for x in found if x[0] >= 30} == {(k, n) for k in range(30, SITE_PAGES) for n in (0, 11, 15, 16, 19)}
+    assert body.main_body(spark.createDataFrame([(1, "one line")], "id long, text string")).first().text == "one line"
 
 
-def test_tree_decides():
+@pytest.mark.parametrize("line", ["→ Das Haus", "» The house", "[+] La casa", "3. How one harbour found the header", "© 2020 Site"])
+def test_furniture_by_form(line):
+    assert form(line)[0] == 1.0
+
+
+@pytest.mark.parametrize("line", ["The archive and the news of the small harbour", "Von der Redaktion Beispiel", "Note legali", "* An item", "Nota: una versione precedente dava un'altra data.", "1. Close the valve.", "x" * 5000])
+def test_no_furniture_by_form(line):
+    assert form(line)[0] == 0.0
+    assert (form(line)[1] == "byline") == line.startswith(("Von der", "Nota:"))
+
+
+def test_openings():
+    assert body.pieces("related: how one link") == ("related", ["related", "how one link"]) and body.pieces("news › a very long title of an article") == ("news", ["news"])
+    assert body.pieces("more like this – a title") == ("more like this", ["more like this"]) and body.pieces("la luz – el molino") == ("", []) == body.pieces("plain words")
+
+
+def test_density_decides():
     """The same line with the same link share is main body or not by what else its page holds."""
+    reader = body.Reader()
     line, menu = "Wspólna uwaga o sprawach miasta", "\n".join(f"Dom {c} | Sklep | Szukaj" for c in "abcdefgh")
     prose = PROSE["en"].replace(". ", ".\n") + "\n"
-    on_prose = body.body_lines(f"{prose}{line}\n{menu[:21]}", Lines(), [0.0] * 4 + [0.05, 1.0])
-    on_menus = body.body_lines(f"{menu}\n{line}", Lines(), [1.0] * 8 + [0.05])
+
+    def verdicts(text, repeated):
+        return body.body_lines(reader(text)[0], repeated, [0.0] * len(repeated))
+
+    on_prose, on_menus = verdicts(f"{prose}{line}\n{menu[:21]}", [0.0] * 4 + [0.05, 1.0]), verdicts(f"{menu}\n{line}", [1.0] * 8 + [0.05])
     assert on_prose[4][:2] == (4, False) and on_menus[8][:2] == (8, True)
-    assert body.body_lines("ok\n•\n" + prose + "Tags: a, b", Lines())[1][:2] == (1, True)
 
 
 def test_long_line():
-    assert body.body_lines("word " * 100_000, Lines()) == [(0, True, "text")]
+    assert body.body_lines(body.Reader()("word " * 100_000)[0]) == [(0, True, "text")]
+    assert body.body_lines(body.Reader()(" | ".join(f"Label {k}" for k in range(500)) + "\n" + PROSE["en"])[0])[0][1] is False
+
+
+# sampling
+
+
+def test_balanced_sample(spark):
+    rows = [(k, "en" if k % 10 else "DE-at", "a line\n" * (5 if k else 50_000)) for k in range(1000)] + [(2000, None, "x"), (2001, "xx", "y"), (2002, "en", None), (2003, "en", "")]
+    table = spark.createDataFrame(rows, "id long, lang string, text string")
+    options = {"id_col": "id", "text_col": "text", "label_col": "lang", "sample_pages": 90}
+    got = balanced_sample(table, ["en", "de"], others=True, **options)
+    assert Counter(label for label, _ in got) == {"en": 30, "de": 30, "": 2}
+    assert got == balanced_sample(table.repartition(7), ["en", "de"], others=True, **options)
+    assert {label for label, _ in balanced_sample(table, ["en", "de"], others=False, **options)} == {"en", "de"}
+    assert balanced_sample(table.limit(0), ["en"], others=True, **options) == []
 
 
 # problem 10
