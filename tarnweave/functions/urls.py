@@ -25,7 +25,7 @@ def netloc(url: Column) -> Column:
 def normalize_url(url: Column) -> Column:
     """One spelling per page: no fragment, lower-case scheme and authority, no trailing slashes.
 
-    An empty path becomes `/`; a path of slashes only stays one slash; an empty query is dropped;
+    An empty path and `/` become `/`; slashes at the end of any other path go, so that `//` becomes empty; an empty query is dropped;
     `;params` stay with the last segment, without a slash before them. Null stays null.
     """
     scheme, auth, path, query = _part(url, 2), _part(url, 4), _part(url, 5), _part(url, 7)

@@ -64,7 +64,9 @@ def in_degree_prefix_sum(edges: DataFrame, n: int, blocks: int = 1024) -> DataFr
 
 def transition_matrix(edges: DataFrame) -> DataFrame:
     """`src, dst, weight`: share of the source's out-links, parallel edges added up."""
-    return edge_multiplicity(edges).join(out_degree(edges), "src").select("src", "dst", (F.col("multiplicity") / F.col("out_degree")).alias("weight"))
+    counted = edge_multiplicity(edges)
+    degrees = counted.groupBy("src").agg(F.sum("multiplicity").alias("out_degree"))  # from the counts, so that edges are shuffled once
+    return counted.join(degrees, "src").select("src", "dst", (F.col("multiplicity") / F.col("out_degree")).alias("weight"))
 
 
 def summary(edges: DataFrame) -> DataFrame:

@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.functions.urls import normalize_url
+from tarnweave.session import sized
 
 
 def longest_page(pages: DataFrame, id_col: str = "id") -> DataFrame:
-    """One row `url, id, text` per normalised URL: the longest text, the least id among equals; null texts are ''. Rows without URL are dropped."""
+    """One row `url, id, text` per normalised URL: the longest text, the least id among equals; null texts are ''. Rows without URL are dropped.
+
+    Only texts of URLs that stand on several rows are shuffled; all others pass through.
+    """
     rows = pages.where("url is not null").select(normalize_url(F.col("url")).alias("url"), F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.groupBy("url").agg(F.max_by(F.struct("id", "text"), F.struct(F.length("text"), -F.col("id"))).alias("b")).select("url", "b.id", "b.text")
+    several = sized(rows.groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("url"))
+    best = rows.join(several, "url", "left_semi").groupBy("url").agg(F.max_by(F.struct("id", "text"), F.struct(F.length("text"), -F.col("id"))).alias("b")).select("url", "b.id", "b.text")
+    return rows.join(several, "url", "left_anti").select("url", "id", "text").unionByName(best)
 
 
 def best_score(scores: DataFrame) -> DataFrame:

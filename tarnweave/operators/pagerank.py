@@ -1,7 +1,8 @@
 """PageRank: one loop for the L1 dialect (renormalised) and the L-infinity dialect of hand-made graphs.
 
 Transition weights are computed once and kept partitioned by source. One job per iteration writes the new ranks to
-the shared folder and, on the way, observes their change and the dangling mass the next iteration needs.
+the shared folder and, on the way, observes their change and the dangling mass the next iteration needs; the ranks before the last
+are deleted.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnweave.operators import graph
-from tarnweave.session import cut_counted
+from tarnweave.session import cut_counted, discard
 
 
 @dataclass
@@ -50,7 +51,7 @@ def pagerank(
     ranks = graph.nodes(spark, n).join(loose, "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.coalesce("loose", F.lit(False)).alias("loose"))
     mass = F.sum(F.when(F.col("loose"), F.col("rank")).otherwise(0.0))
     ranks, seen = cut_counted(ranks, mass=mass)
-    out = Result(ranks, 0)
+    out, written = Result(ranks, 0), ranks
     try:
         for it in range(max_iter):
             # contributions and the nodes themselves meet in one aggregation: one shuffle, combined before it
@@ -61,7 +62,8 @@ def pagerank(
             new = damping * (F.col("y") + spread) + (1 - damping) / n
             step = sums.select("id", new.alias("rank"), "loose", F.abs(new - F.col("old")).alias("change"))
             step, seen = cut_counted(step, mass=mass, l1=F.sum("change"), linf=F.max("change"), total=F.sum("rank"))
-            ranks = step.drop("change")
+            discard(written)
+            written, ranks = step, step.drop("change")
             out.deltas.append((seen["l1"], seen["linf"]))
             out.iterations = it + 1
             if (norm == "l1" and seen["l1"] < tol) or (norm == "linf" and not seen["linf"] > tol):
@@ -81,9 +83,14 @@ def top_ranks(ranks: DataFrame, k: int) -> DataFrame:
 
 
 def rank_report(edges: DataFrame, ranks: DataFrame, k: int = 10) -> DataFrame:
-    """Text lines of a report: nodes, edges, dangling nodes, then the top k at 10 decimals."""
+    """Text lines of a report: nodes, edges, dangling nodes, then the top k (all, if there are fewer) at 10 decimals."""
     edges = graph.clean_edges(edges)
-    head = [F.concat(F.lit("N (nodes): "), F.col("nodes").cast("string")), F.concat(F.lit("M (edges): "), F.col("edges").cast("string")), F.concat(F.lit("Dangling nodes: "), F.col("dangling").cast("string")), F.lit(f"Top {k} nodes by PageRank:")]
-    s = graph.summary(edges).select(F.posexplode(F.array(*head)).alias("o", "value"))
-    top = top_ranks(ranks, k).select((F.col("place") + 3).alias("o"), F.format_string("  node %d : %.10f", "id", "rank").alias("value"))
+    # The layout that readers of such reports expect.
+    head = ["Graph summary:", "  N (nodes) : {nodes}", "  M (edges) : {edges}", "  Dangling nodes: {dangling}", "", "Top {k} nodes by PageRank:"]
+    s = graph.summary(edges).withColumn("k", F.least(F.lit(k), "nodes"))
+    values = [F.lit(line) for line in head]
+    for name in ("nodes", "edges", "dangling", "k"):
+        values = [F.replace(v, F.lit("{" + name + "}"), F.col(name).cast("string")) for v in values]
+    s = s.select(F.posexplode(F.array(*values)).alias("o", "value"))
+    top = top_ranks(ranks, k).select((F.col("place") + len(head)).alias("o"), F.format_string("  node %d : %.10f", "id", "rank").alias("value"))
     return s.unionByName(top).coalesce(1).sortWithinPartitions("o").select("value")

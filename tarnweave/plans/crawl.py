@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.functions import html as H
 from tarnweave.functions import urls as U
-from tarnweave.session import cut, cut_counted, ship
+from tarnweave.session import BROADCAST_ROWS, cut, cut_counted, ship
 
 MAX_BYTES = 2_000_000
 
@@ -73,7 +73,8 @@ def crawl(snapshot: DataFrame, start_url: str, max_pages: int = 100, target_lang
     and the order of visits are by depth, then URL, so that two runs agree. `snapshot` holds one row per normalised
     URL; a URL without row is a failed fetch.
     """
-    if not start_url or not start_url.startswith("http"):
+    start_url = (start_url or "").strip()
+    if not start_url.startswith("http"):
         raise ValueError("the start URL must begin with http")
     spark = snapshot.sparkSession
     ship(spark)
@@ -87,7 +88,8 @@ def crawl(snapshot: DataFrame, start_url: str, max_pages: int = 100, target_lang
             break
         budget -= seen["rows"]
         visited = level if visited is None else cut(visited.unionByName(level))
-        found = acceptable(snapshot.join(F.broadcast(level.select("url")), "url")).withColumn("p", H.parsed(F.col("html")))
+        urls = level.select("url")
+        found = acceptable(snapshot.join(F.broadcast(urls) if seen["rows"] <= BROADCAST_ROWS else urls, "url")).withColumn("p", H.parsed(F.col("html")))
         found = cut(found.where(wanted_language(F.col("p.lang"), target_lang)).select("url", F.col("p.text").alias("text"), F.col("p.hrefs").alias("hrefs")))
         out = found.select(F.col("url").alias("source_url"), F.explode("hrefs").alias("href")).select("source_url", U.resolve_link(F.col("source_url"), F.col("href")).alias("u"))
         out = out.where(F.col("u").isNotNull() & ~U.rejected_scheme(F.col("u")) & U.same_domain(F.col("u"), F.lit(base))).select("source_url", U.normalize_url(F.col("u")).alias("target_url"))

@@ -42,6 +42,24 @@ def rank_site(snapshot: DataFrame, url: str, max_pages: int = 30, top_k: int = 2
     return {"pages": ranked, "nodes": found.url_ids, "edges": edges, "counts": found.statistics()}
 
 
+def rank_envelope(site: dict[str, DataFrame], start_url: str) -> DataFrame:
+    """One row for what `rank_site` gives: start_url, page_count, edge_count, pages by rank, nodes, edges. Sites of a request's size only: they are gathered in one row."""
+    edges = site["edges"].withColumnsRenamed({"src": "from", "dst": "to"})
+    gathered = [site[name].agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name)) for name, columns in (("pages", ("rank", "node_id", "url", "score")), ("nodes", ("id", "url")))]
+    gathered.append(edges.agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("edges")))
+    counts = site["counts"].select(F.col("indexed").alias("page_count"))
+    out = counts
+    for part in gathered:
+        out = out.crossJoin(part)
+    return out.select(F.lit(start_url).alias("start_url"), "page_count", F.size("edges").alias("edge_count"), "pages", "nodes", "edges")
+
+
+def file_envelope(top: DataFrame) -> DataFrame:
+    """One row with `top`, what `rank_file` gives, best first; null and an `error` if there is none."""
+    rows = top.agg(F.sort_array(F.collect_list(F.struct(F.col("score").alias("score"), F.col("node").alias("node"))), False).alias("t"))
+    return rows.select(F.when(F.size("t") > 0, F.transform("t", lambda x: F.struct(x.node.alias("node"), x.score.alias("score")))).alias("top"), F.when(F.size("t") == 0, F.lit("no edges")).alias("error"))
+
+
 def rank_file(edges: DataFrame, top_k: int = 10) -> DataFrame:
     """`node, score` of the best nodes of an edge list."""
     return top_ranks(pagerank(edges).ranks, top_k).select(F.col("id").alias("node"), F.col("rank").alias("score"))

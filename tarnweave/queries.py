@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnweave.functions import html as H
@@ -14,8 +15,8 @@ from tarnweave.operators import graph, index, merge, search
 from tarnweave.operators.pagerank import pagerank, rank_report, top_ranks
 from tarnweave.plans import pipeline
 from tarnweave.plans.crawl import acceptable, assign_ids, crawl, map_edges, wanted_language
-from tarnweave.session import cut
-from tarnweave.sources import files
+from tarnweave.session import cut, shared_dir
+from tarnweave.sources import files, sinks
 
 QUERY = "graph index harbour of the quiet engine"
 UNKNOWN = "zzqx unfindable"
@@ -268,11 +269,59 @@ def rank_preview(spark, sf_dir):
     return _scores(spark, sf_dir).orderBy(F.desc("score"), "id").limit(5)
 
 
-@query("select id::bigint as id, round(score, 9) as score from (select id, max(score) as score from pagerank where score is not null and id is not null group by id)")
+_ROUNDED = "select id::bigint as id, round(score, 9) as score from (select id, max(score) as score from pagerank where score is not null and id is not null group by id)"
+
+
+def _report_lines(spark, sf_dir):
+    return _scores(spark, sf_dir).where("id is not null").select("id", F.round("score", 9).alias("score")).withColumn("value", F.format_string("  node %d : %.9f", "id", "score"))
+
+
+@query(_ROUNDED)
 def rank_report_parse(spark, sf_dir):
-    lines = _scores(spark, sf_dir).where("id is not null").select(F.format_string("  node %d : %.9f", "id", F.round("score", 9)).alias("value"))
     head = spark.createDataFrame([("N (nodes): 3",), ("Dangling nodes: 1",)], "value string")
-    return files.parse_report(lines.unionByName(head), anchored=True)
+    return files.parse_report(_report_lines(spark, sf_dir).select("value").unionByName(head))
+
+
+@query(f"select id, score from ({_ROUNDED}) order by score desc, id limit 1000")
+def rank_report_parse_anchored(spark, sf_dir):
+    """A whole report of the 1,000 best; what stands above its header, or beside a rank, doesn't count."""
+    top = _report_lines(spark, sf_dir).orderBy(F.desc("score"), "id").limit(1000)
+    text = top.agg(F.concat(F.lit("Graph summary:\n  node 7 : 0.5\n\nTop 1000 nodes by PageRank:\n"), F.array_join(F.collect_list("value"), "\n"), F.lit("\n  node 8 : 0.5 or so\n")).alias("value"))
+    return files.parse_report(text, anchored=True)
+
+
+# files: written, read again
+
+def _written(spark, write, read):
+    path = f"{shared_dir(spark)}/file-{uuid.uuid4().hex}"
+    write(path)
+    return read(path)
+
+
+@query(RAW)
+def edge_file(spark, sf_dir):
+    return _written(spark, lambda p: sinks.write_edges(_table(spark, sf_dir, "edges"), p), lambda p: files.read_edges(spark, p))
+
+
+@query(DISTINCT)
+def edge_file_distinct(spark, sf_dir):
+    return _written(spark, lambda p: sinks.write_edges(_table(spark, sf_dir, "edges"), p, dedup=True), lambda p: files.read_edges(spark, p))
+
+
+@query("select '/p/' || src as source, dst as target_id from edges where src is not null and dst is not null")
+def edge_csv(spark, sf_dir):
+    rows = _edges(spark, sf_dir).select(F.concat(F.lit("/p/"), F.col("src").cast("string")).alias("source"), F.col("dst").alias("target_id"))
+    return _written(spark, lambda p: sinks.write_edge_csv(rows, p), lambda p: spark.read.schema("source string, target_id long").option("header", True).csv(p))
+
+
+@query("select id, url, text from pages")
+def page_file(spark, sf_dir):
+    return _written(spark, lambda p: sinks.write_json(_table(spark, sf_dir, "pages").select("id", "url", "text"), p), lambda p: files.read_pages(spark, p))
+
+
+@query("select id, url, score from pagerank")
+def rank_file(spark, sf_dir):
+    return _written(spark, lambda p: sinks.write_pagerank(_table(spark, sf_dir, "pagerank"), p), lambda p: files.read_pagerank(spark, p))
 
 
 # text and search
@@ -347,6 +396,14 @@ def tfidf_search(spark, sf_dir):
     return search.tfidf_search(_index(spark, sf_dir), QUERY, 30)
 
 
+@query(f"{_search_sql(QUERY, 30)} select doc_id, score from found")
+def tfidf_search_saved(spark, sf_dir):
+    """The same over an index that was written and loaded: only the postings of the query's terms are read."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    _index(spark, sf_dir).save(path)
+    return search.tfidf_search(index.load(spark, path), QUERY, 30)
+
+
 @query(f"{_search_sql(PARSED_QUERY, 1000000000, True)} select doc_id, score from found")
 def tfidf_search_include_zero(spark, sf_dir):
     return search.cosine_scores(_index(spark, sf_dir), PARSED_QUERY, include_zero=True).withColumn("score", F.round("score", 9))
@@ -474,16 +531,72 @@ def url_edges_mapped(spark, sf_dir):
     return map_edges(links, _ids(links))
 
 
-@query()
+# crawl: each page of the tables under an address of its own, its links from the edge list, among links that don't count; some pages fail, are no HTML, or in another language
+
+_HOST, _BUDGET, _LEVELS = "https://crawl.example/p/", 300, 12
+_CRAWL = (
+    "with recursive e as (select distinct src, dst from edges where src is not null and dst is not null), "
+    "ok as materialized (select distinct id from pages where id is not null and id % 31 <> 0 and id % 29 <> 0 and (id % 7 <> 0 or id % 5 = 0)), "
+    "start as materialized (select ok.id from ok left join e on src = ok.id group by ok.id order by count(dst) desc, ok.id limit 1), "
+    f"l as materialized (select '{_HOST}' || src as s, '{_HOST}' || dst as t from e join ok on ok.id = src union all select '{_HOST}' || id, '{_HOST}' || id from ok), "
+    f"v0 as materialized (select '{_HOST}' || id as url, 0 as depth from start)"
+)
+for _k in range(1, _LEVELS):
+    _CRAWL += (
+        f", f{_k} as materialized (select distinct t as url from l join v{_k - 1} on s = url and depth = {_k - 1} where t not in (select url from v{_k - 1})), "
+        f"v{_k} as materialized (select * from v{_k - 1} union all select url, {_k} from (select url, row_number() over (order by url) as k from f{_k}) where k <= {_BUDGET} - (select count(*) from v{_k - 1}))"
+    )
+_CRAWL += (
+    f", v as materialized (select * from v{_LEVELS - 1}), pg as materialized (select v.url, depth, id from v join ok on v.url = '{_HOST}' || id), ue as materialized (select s, t, depth from l join pg on s = pg.url), "
+    "ids as materialized (select url, row_number() over (order by min(depth), url) - 1 as id from (select url, depth from pg union all select t, depth + 1 from ue) group by url)"
+)
+_CRAWL_EDGES = "select a.id as src, b.id as dst from ue join ids a on a.url = s join ids b on b.url = t"
+
+
+def _crawl_input(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").where("id is not null").select("id").distinct()
+    links = graph.distinct_edges(_edges(spark, sf_dir))
+    anchors = links.groupBy(F.col("src").alias("id")).agg(F.array_join(F.collect_list(F.concat(F.lit('<a href="/p/'), F.col("dst").cast("string"), F.lit('/">l</a>'))), "").alias("a"), F.count(F.lit(1)).alias("n"))
+    rows = pages.join(anchors, "id", "left").withColumns({"a": F.coalesce("a", F.lit("")), "n": F.coalesce("n", F.lit(0))})
+    lang = F.when(F.col("id") % 5 == 0, "").when(F.col("id") % 7 == 0, "de-AT").otherwise("en")
+    html = F.concat(F.lit('<html lang="'), lang, F.lit('"><body><nav><a href="/nav">n</a></nav><main>'), "a", F.lit('<a href="https://other.example/x">o</a><a href="mailto:a@b.example">m</a><a href="#top">t</a></main><footer><a href="/foot">f</a></footer></body></html>'))
+    status, kind = F.when(F.col("id") % 31 == 0, 404).otherwise(200).cast("long"), F.when(F.col("id") % 29 == 0, "application/pdf").otherwise("text/html; charset=utf-8")
+    snapshot = cut(rows.select("id", "n", F.concat(F.lit(_HOST), F.col("id").cast("string")).alias("url"), status.alias("status"), kind.alias("content_type"), html.alias("html"), lang.alias("lang")))
+    start = snapshot.where("status = 200 and content_type like 'text%' and lang <> 'de-AT'").orderBy(F.desc("n"), "id").first()
+    return snapshot.select("url", "status", "content_type", "html"), f" {start['url']}#x "
+
+
+def _crawled(spark, sf_dir):
+    return crawl(*_crawl_input(spark, sf_dir), _BUDGET, "en")
+
+
+@query(f"{_CRAWL} select url, depth from v")
 def crawl_bfs(spark, sf_dir):
-    """Breadth-first crawl of the largest site, over a snapshot of all pages."""
-    pages = _table(spark, sf_dir, "pages").where("url is not null").select("id", U.normalize_url(F.col("url")).alias("url"), "lang")
-    anchors = _edges(spark, sf_dir).join(pages.select(F.col("id").alias("dst"), F.concat(F.lit('<a href="'), "url", F.lit('">l</a>')).alias("a")), "dst").groupBy(F.col("src").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("a")), "").alias("a"))
-    html = F.concat(F.lit('<html lang="'), F.coalesce("lang", F.lit("")), F.lit('"><body><main>'), F.coalesce("a", F.lit("")), F.lit("</main></body></html>"))
-    snapshot = pages.join(anchors, "id", "left").groupBy("url").agg(F.min_by(html, "id").alias("html"))
-    snapshot = cut(snapshot.select("url", F.lit(200).cast("long").alias("status"), F.lit("text/html").alias("content_type"), "html"))
-    start = snapshot.where("html like '%<a %'").groupBy(U.base_domain(U.netloc(F.col("url"))).alias("site")).agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("url")).orderBy(F.desc("n"), "site").first()["url"]
-    return crawl(snapshot, start, 100).visited
+    """Breadth first from the page of most links, until _BUDGET pages are visited."""
+    return _crawled(spark, sf_dir).visited
+
+
+@query(f"{_CRAWL} select ids.id, pg.url, repeat('l ', (select count(*) from e where src = pg.id)::bigint) || 'o m t' as text from pg join ids on ids.url = pg.url")
+def crawl_pages(spark, sf_dir):
+    return _crawled(spark, sf_dir).pages
+
+
+@query(f"{_CRAWL} {_CRAWL_EDGES}")
+def crawl_edges(spark, sf_dir):
+    return _crawled(spark, sf_dir).edges()
+
+
+@query(f"{_CRAWL} select (select count(*) from v) as visited, (select count(*) from pg) as indexed, (select count(*) from ids) as urls, (select count(*) from ue) as edges")
+def crawl_statistics(spark, sf_dir):
+    return _crawled(spark, sf_dir).statistics()
+
+
+@query(_pagerank_sql(f"{_CRAWL} {_CRAWL_EDGES}", 90).replace("select id, round(r /", "select node_id, url, rank, score from (select p.id as node_id, url, row_number() over (order by score desc, p.id) as rank, score from (select id, round(r /").replace("10) as rank from r90", f"7) as score from r90) p join ({_CRAWL} select id, url from ids) using (id)) where rank <= 20"))
+def rank_site_top(spark, sf_dir):
+    snapshot, start = _crawl_input(spark, sf_dir)
+    found = pipeline.rank_site(snapshot, start, _BUDGET, 1000, "en")["pages"]
+    top = found.withColumn("score", F.round("score", 7)).orderBy(F.desc("score"), "node_id").limit(20)
+    return top.select("node_id", "url", F.row_number().over(Window.orderBy(F.desc("score"), "node_id")).cast("long").alias("rank"), "score")
 
 
 # hand-made graphs
@@ -512,7 +625,10 @@ def graph_edit(spark, sf_dir):
     return graph.valid_edges(graph.remove_edge(edges, "n5", "r0"), ids)
 
 
-@query()
+_REPORT = _pagerank_sql(RAW, 20).replace("select id, round(r /", "select value from (select unnest(['Graph summary:', '  N (nodes) : ' || max(n)::bigint, '  M (edges) : ' || (select count(*) from e), '  Dangling nodes: ' || count(*) filter (loose), '', 'Top 10 nodes by PageRank:']) as value from r0) union all (select printf('  node %d : %.10f', id, rank) from (select id, round(r /") + ") order by rank desc, id limit 10)"
+
+
+@query(_REPORT)
 def rank_report_lines(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     return rank_report(edges, pagerank(edges, max_iter=20, tol=0.0).ranks, 10)

@@ -6,6 +6,7 @@ import io
 import os
 import tempfile
 import uuid
+import warnings
 import zipfile
 from pathlib import Path
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of rows a side may have to be broadcast after it was counted.
 BROADCAST_ROWS = 200_000
+#: Largest size in bytes, as Parquet, that it may have.
+BROADCAST_BYTES = 64_000_000
 
 
 def build_session(app: str = "tarnweave", **conf: str) -> SparkSession:
@@ -33,13 +36,15 @@ def build_session(app: str = "tarnweave", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` of the session.
 
-    Only where it is unset (tests, one machine) a folder of this machine is taken and set.
+    Only where it is unset (tests, one machine) a folder of this machine is taken and set; on a cluster that is warned of.
     """
     sc = spark.sparkContext
     set_already = sc._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not configured and not sc.master.startswith("local"):
+        warnings.warn("spark.checkpoint.dir is unset: a folder of this machine is taken, which other machines don't see", stacklevel=2)
     target = configured or "file://" + os.path.join(tempfile.gettempdir(), "tarnweave-checkpoints")
     sc.setCheckpointDir(target)
     return sc._jsc.sc().getCheckpointDir().get()
@@ -52,7 +57,21 @@ def cut(df: DataFrame) -> DataFrame:
     """
     target = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(target)
-    return df.sparkSession.read.schema(df.schema).parquet(target)
+    kept = df.sparkSession.read.schema(df.schema).parquet(target)
+    kept._tarnweave_folder = target
+    return kept
+
+
+def _folder(df: DataFrame):
+    """File system and path of what `cut` or `cut_counted` returned."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._tarnweave_folder)
+    return path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that `cut` or `cut_counted` returned and nothing reads any more."""
+    fs, path = _folder(df)
+    fs.delete(path, True)
 
 
 def cut_counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
@@ -63,12 +82,15 @@ def cut_counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, written once and counted; marked for broadcast only if it has at most `rows` rows.
+    """`df`, written once and counted; marked for broadcast only if it has at most `rows` rows and BROADCAST_BYTES bytes.
 
     Beyond that the plan keeps an ordinary shuffle join, with AQE's skew handling.
     """
     kept, seen = cut_counted(df)
-    return F.broadcast(kept) if seen["rows"] <= rows else kept
+    if seen["rows"] > rows:
+        return kept
+    fs, path = _folder(kept)
+    return F.broadcast(kept) if fs.getContentSummary(path).getLength() <= BROADCAST_BYTES else kept
 
 
 def publish(spark: SparkSession, data: bytes, name: str) -> str:

@@ -9,7 +9,7 @@ from tarnweave import schemas
 
 #: The format of a report line, and of the header before the ranking.
 REPORT_LINE = r"node\s+(\d+)\s*:\s*([0-9.eE+-]+)"
-REPORT_HEADER = r"Top .*nodes by PageRank"
+REPORT_HEADER = r"Top[^\n]*nodes by PageRank"
 _EDGE = r"^\s*(-?\d+)\s+(-?\d+)\s*$"
 
 
@@ -40,7 +40,13 @@ def read_bad_edges(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """JSON array or JSON lines; a missing file is an error."""
-    return spark.read.schema(schemas.PAGES).option("multiLine", True).json(path)
+    return _read_json(spark, path, schemas.PAGES)
+
+
+def _read_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    array = first is not None and first["value"].lstrip().startswith("[")
+    return spark.read.schema(schema).option("multiLine", array).json(path)
 
 
 def read_pagerank(spark: SparkSession, path: str) -> DataFrame:
@@ -48,16 +54,24 @@ def read_pagerank(spark: SparkSession, path: str) -> DataFrame:
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
         return spark.createDataFrame([], schemas.PAGERANK)
-    return spark.read.schema(schemas.PAGERANK).option("multiLine", True).json(path)
+    return _read_json(spark, path, schemas.PAGERANK)
+
 
+def parse_report(reports: DataFrame, anchored: bool = False) -> DataFrame:
+    """`id, score` of a rank report.
 
-def parse_report(lines: DataFrame, anchored: bool = False) -> DataFrame:
-    """`id, score` of a rank report's lines; `anchored` takes whole lines only, as they stand below the header."""
+    `reports` holds a line a row; `anchored`, a whole report a row, of which only the lines below the header count, and only those that hold
+    nothing else.
+    """
     pattern = rf"^\s*{REPORT_LINE}\s*$" if anchored else REPORT_LINE
+    lines = reports
+    if anchored:
+        below = F.regexp_extract("value", rf"(?s)^(?:.*?\n)?{REPORT_HEADER}[^\n]*\n(.*)$", 1)
+        lines = reports.select(F.explode(F.split(below, "\n")).alias("value"))
     rows = lines.where(F.col("value").rlike(pattern))
     score = F.regexp_extract("value", pattern, 2).try_cast("double")
     return rows.select(F.regexp_extract("value", pattern, 1).cast("long").alias("id"), score.alias("score")).where("score is not null")
 
 
 def read_report(spark: SparkSession, path: str, anchored: bool = False) -> DataFrame:
-    return parse_report(spark.read.text(path), anchored)
+    return parse_report(spark.read.text(path, wholetext=anchored), anchored)

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from tarnweave.operators import graph
 from tarnweave.operators.pagerank import pagerank, rank_report, top_ranks
 from tarnweave.sources import files
-from tarnweave.streaming.degrees import running_out_degree
 
 FOUR_A = [(0, 1), (0, 2), (1, 2), (2, 0), (2, 3), (3, 0)]
 FOUR_B = [(0, 1), (0, 2), (1, 0), (2, 0), (2, 3), (3, 2)]
@@ -109,13 +108,3 @@ def test_edge_files(spark, tmp_path):
     with pytest.raises(Exception, match="not an edge"):
         files.read_edges(spark, path).collect()
     assert files.read_pagerank(spark, str(tmp_path / "none.json")).count() == 0
-
-
-def test_streaming_degrees(spark, tmp_path):
-    edges(spark, FOUR_A).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("src long, dst long").parquet(str(tmp_path / "in"))
-    query = running_out_degree(stream).writeStream.format("memory").queryName("degrees").outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination(60)
-    got = {r.src: r.out_degree for r in spark.table("degrees").collect()}
-    assert got == {r.src: r.out_degree for r in graph.out_degree(edges(spark, FOUR_A)).collect()}
-    assert F is not None
