@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines.slot_templates(_table(spark, sf_dir, "pages"))
+    return repeated_lines.slot_templates(_table(spark, sf_dir, "pages")).select("site", "template", "pages")
 
 
 def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:

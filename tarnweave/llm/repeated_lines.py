@@ -28,12 +28,16 @@ def normalized_lines(text: Column) -> Column:
     return F.transform(F.split(flat, "\n"), lambda x: F.trim(x))
 
 
+def _leaf(site_name: Column, line: Column, depth: int) -> Column:
+    n_tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.xxhash64(site_name, n_tokens, F.substring_index(line, " ", depth))
+
+
 def _paths(lines: DataFrame, depth: int) -> DataFrame:
     """Adds `leaf`, the tree path, and `exact`, the whole template, as 64-bit hashes."""
-    n_tokens = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
     return lines.withColumns(
         {
-            "leaf": F.xxhash64("site", n_tokens, F.substring_index("line", " ", depth)),
+            "leaf": _leaf(F.col("site"), F.col("line"), depth),
             "exact": F.xxhash64(F.lit("line"), "site", "line"),
         }
     )
@@ -68,21 +72,23 @@ def repeated_lines(pages: DataFrame, templates: DataFrame, *, depth: int = DEPTH
 
 
 def slot_templates(pages: DataFrame, *, min_pages: int = 4, min_share: float = 0.05, depth: int = DEPTH, id_col: str = "id", url_col: str = "url", text_col: str = "text") -> DataFrame:
-    """One template per surviving leaf, with `<*>` at each slot whose token differs between its lines.
+    """One template per leaf that enough pages reach, with `<*>` at each slot whose token differs between its lines.
 
-    Returns `site, leaf, template, lines`. A slot is a wildcard iff its least and greatest token differ: both
-    combine before the shuffle, so trees of different partitions merge without meeting in one task.
+    Returns `site, leaf, template, pages`; several lines of a page in one leaf count once. A slot is a wildcard iff its least and greatest token differ: both
+    combine before the shuffle, so trees of different partitions merge without meeting in one task. Rows and nulls as in `line_templates`.
     """
     src = _source(pages, id_col, url_col, text_col)
     totals = sized(src.groupBy("site").agg(F.count(F.lit(1)).alias("site_pages")))
-    lines = _paths(src.select("site", F.explode(F.array_distinct(normalized_lines(F.col("text")))).alias("line")).where("line != ''"), depth)
-    leaves = lines.groupBy("site", "leaf").agg(F.count(F.lit(1)).alias("lines"))
-    leaves = sized(leaves.join(totals, "site").where((F.col("lines") >= min_pages) & (F.col("lines") >= F.col("site_pages") * min_share)).select("leaf", "site", "lines"))
-    slots = lines.join(leaves.select("leaf", "lines"), "leaf").select("site", "leaf", "lines", F.posexplode(F.split("line", " ")).alias("slot", "token"))
-    slots = slots.groupBy("site", "leaf", "lines", "slot").agg(F.min("token").alias("low"), F.max("token").alias("high"))
+    own = src.select("site", F.filter(F.array_distinct(normalized_lines(F.col("text"))), lambda x: x != "").alias("lines"))
+    leaves = own.select("site", F.explode(F.array_distinct(F.transform("lines", lambda x: _leaf(F.col("site"), x, depth)))).alias("leaf"))
+    leaves = leaves.groupBy("site", "leaf").agg(F.count(F.lit(1)).alias("pages"))
+    leaves = sized(leaves.join(totals, "site").where((F.col("pages") >= min_pages) & (F.col("pages") >= F.col("site_pages") * min_share)).select("leaf", "pages"))
+    lines = own.select("site", F.explode("lines").alias("line")).withColumn("leaf", _leaf(F.col("site"), F.col("line"), depth))
+    slots = lines.join(leaves, "leaf").select("site", "leaf", "pages", F.posexplode(F.split("line", " ")).alias("slot", "token"))
+    slots = slots.groupBy("site", "leaf", "pages", "slot").agg(F.min("token").alias("low"), F.max("token").alias("high"))
     slots = slots.withColumn("token", F.when((F.col("low") != F.col("high")) | F.col("low").contains("0"), "<*>").otherwise(F.col("low")))
-    joined = slots.groupBy("site", "leaf", "lines").agg(F.sort_array(F.collect_list(F.struct("slot", "token"))).alias("t"))
-    return joined.select("site", "leaf", F.array_join("t.token", " ").alias("template"), "lines")
+    joined = slots.groupBy("site", "leaf", "pages").agg(F.sort_array(F.collect_list(F.struct("slot", "token"))).alias("t"))
+    return joined.select("site", "leaf", F.array_join("t.token", " ").alias("template"), "pages")
 
 
 def remove_lines(pages: DataFrame, lines: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:

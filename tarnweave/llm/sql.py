@@ -16,6 +16,22 @@ c as (select site, line, count(distinct id) as k from l where line <> '' group b
 select id, line_no::bigint as line_no from l join c using (site, line) join n using (site) where k >= 4 and k * 20 >= n
 """
 
+P1_TEMPLATES = f"""
+with p as (select row_number() over () as page, {_SITE} as site, {_LINES} as lines from pages where text is not null and url is not null),
+l as materialized (select distinct page, site, trim(unnest(lines), ' ') as line from p where site is not null),
+t as materialized (select page, site, string_split(line, ' ') as t from l where line <> ''),
+n as (select site, count(*) as n from p where site is not null group by site),
+c as materialized (select site, len(t) as k, t[1:3] as head, count(distinct page) as pages from t group by all),
+w as (select t.site, len(t) as k, t[1:3] as head, unnest(t) as token, unnest(range(len(t))) as slot from t),
+s as (select site, k, head, slot, case when min(token) <> max(token) or contains(min(token), '0') then '<*>' else min(token) end as token from w group by all)
+select site, string_agg(token, ' ' order by slot) as template, any_value(pages) as pages from s join c using (site, k, head) join n using (site) where pages >= 4 and pages >= n * 0.05::double group by site, k, head
+"""
+
+P1_CLEANED = f"""
+with found as ({P1.strip()}), g as (select id, list(line_no) as gone from found group by id)
+select pages.id, case when gone is null then text else array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: not list_contains(gone, i - 1)), chr(10)) end as text from pages left join g using (id)
+"""
+
 P2 = """
 with best as (select query_id, node_id, tfidf_score, pagerank_score, combined_score, row_number() over (partition by query_id, node_id order by served_at desc nulls last, tfidf_score desc nulls last, pagerank_score desc nulls last, combined_score desc nulls last) as k from search_results),
 c as (select query_id, node_id, unnest(['t', 'p', 'c']) as what, unnest([tfidf_score, pagerank_score, combined_score]) as s from best where k = 1),
@@ -59,7 +75,9 @@ select distinct doc_id, item_id from dw join bw using (g)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_cleaned": P1_CLEANED,
         "p1_found": P1,
+        "p1_templates": P1_TEMPLATES,
         "p2_fused": P2 + "select query_id, node_id, round(fused, 9) as fused from f",
         "p2_found": P2 + "select query_id, node_id from (select query_id, node_id, row_number() over (partition by query_id order by fused desc, node_id) as k from f where fused is not null) where k <= 3",
         "p3_found": P3 + "select id, term from w where tf >= 4 and df between 2 and 12",
