@@ -6,8 +6,9 @@ Any SPAN consecutive equal words hit with every mask, so exact passages of min_w
 With substitutions the masks keep whole blocks of the SPAN words, in every choice of as many blocks as no substitution
 can reach (`covering_masks`): wherever the substitutions stand, one mask avoids them all, so nothing is missed either.
 
-A benchmark of at most MAX_LOCAL_ITEMS items (counted first) is looked up inside the scan: a sorted seed array per
-worker, no shuffle at all. A larger one is joined by seed hash.
+A benchmark of at most MAX_LOCAL_BYTES bytes of text (added up first) is looked up inside the scan: a sorted seed array per
+worker, no shuffle at all. A larger one is joined by seed hash: a bitmap of FILTER_BITS bits of the items' seeds goes to all workers, so that of the documents'
+seeds only those that some item may have are shuffled; both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.llm.arrow import Memo, map_batches
+from tarnweave.session import cut, sized
 
 #: For passages with SPAN consecutive equal words.
 MASKS = ("110110101101", "101101110011")
 SPAN = 12
-MAX_LOCAL_ITEMS = 20_000
+MAX_LOCAL_BYTES = 8_000_000
+FILTER_BITS = 1 << 27
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], dtype=np.uint64)
 
@@ -90,7 +93,7 @@ def _best(doc: np.ndarray, item: np.ndarray, pairs: set[int], min_words: int, ma
     return max((overlap(doc, item, s, min_words, max_subs) for s in pairs), default=0)
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, *, min_words: int = 12, max_subs: int = 0, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", max_local_items: int = MAX_LOCAL_ITEMS) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, *, min_words: int = 12, max_subs: int = 0, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", max_local_bytes: int = MAX_LOCAL_BYTES) -> DataFrame:
     """`<id_col>, <item_col>, words`: each document that holds at least `min_words` consecutive words of an item, at most `max_subs` of any `min_words` of them substituted.
 
     `min_words` is SPAN or more, and `max_subs` less than SPAN for each SPAN words of it. No placement of the
@@ -106,7 +109,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, min_words: int = 12,
     docs = documents.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
     held = items.select(F.col(item_col).cast("long").alias(item_col), F.col(text_col).alias("text")).where("text is not null")
     schema = {id_col: "long", item_col: "long", "words": "long"}
-    if held.limit(max_local_items + 1).count() <= max_local_items:
+    if (held.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) <= max_local_bytes:
         memo = _memo()
         ids, texts = [], []
         for r in held.collect():
@@ -114,8 +117,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, min_words: int = 12,
                 ids.append(r[item_col])
                 texts.append(h)
         return map_batches(docs, _scan(ids, texts, masks, min_words, max_subs), schema) if ids else map_batches(docs.limit(0), lambda b: iter(()), schema)
-    hits = _seed_rows(docs, id_col, masks).join(_seed_rows(held, item_col, masks), "seed").select(id_col, item_col).distinct()
-    both = hits.join(docs.where("text is not null"), id_col).withColumnRenamed("text", "doc_text").join(held.withColumnRenamed("text", "item_text"), item_col)
+    item_seeds = cut(_seed_rows(held, item_col, masks))
+    hits = _seed_rows(docs, id_col, masks, _bitmap(item_seeds)).join(item_seeds, "seed").select(id_col, item_col).distinct()
+    both = docs.where("text is not null").join(sized(hits), id_col).withColumnRenamed("text", "doc_text").join(held.withColumnRenamed("text", "item_text"), item_col)
 
     def verify(batches):
         memo = _memo()
@@ -136,14 +140,30 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, min_words: int = 12,
     return map_batches(both.select(id_col, item_col, "doc_text", "item_text"), verify, schema)
 
 
-def _seed_rows(df: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
+def _bitmap(seed_rows: DataFrame) -> np.ndarray:
+    """One bit for each seed's remainder modulo FILTER_BITS, put together by a grouped aggregation of at most FILTER_BITS // 64 rows."""
+    at = F.pmod("seed", F.lit(FILTER_BITS))
+    words = seed_rows.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(seed, {FILTER_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def _seed_rows(df: DataFrame, key: str, masks: tuple[str, ...], only: np.ndarray | None = None) -> DataFrame:
+    """`key, seed`: the distinct seeds of each text; with `only`, those whose bit is set."""
+    shared = df.sparkSession.sparkContext.broadcast(only)
+
     def rows(batches):
-        memo = _memo()
+        memo, bits = _memo(), shared.value
         for keys, texts in batches:
             ks, out = [], []
             for k, t in zip(keys, texts, strict=True):
                 w = _hashes(t, memo)
-                own = np.unique(np.concatenate([seeds(w, m) for m in masks])).view(np.int64)
+                own = np.unique(np.concatenate([seeds(w, m) for m in masks]))
+                if bits is not None:
+                    at = (own % np.uint64(FILTER_BITS)).astype(np.int64)
+                    own = own[(bits[at >> 6] >> (at & 63)) & 1 == 1]
+                own = own.view(np.int64)
                 out += own.tolist()
                 ks += [k] * len(own)
             yield [ks, out]

@@ -274,10 +274,10 @@ def test_leaks(spark, local):
     docs += [(50, None), (51, ""), (52, "few words")]
     a = spark.createDataFrame([(*x, "t") for x in docs], "doc_id long, text string, words string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    found = contamination.leaked_items(a, b, max_local_items=local)
+    found = contamination.leaked_items(a, b, max_local_bytes=local)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == brute_leaks(docs, items)
-    assert contamination.leaked_items(a, b.limit(0), max_local_items=local).count() == 0
-    assert contamination.leaked_items(a.limit(0), b, max_local_items=local).count() == 0
+    assert contamination.leaked_items(a, b.limit(0), max_local_bytes=local).count() == 0
+    assert contamination.leaked_items(a.limit(0), b, max_local_bytes=local).count() == 0
 
 
 @pytest.mark.parametrize("local", [1000, 0])
@@ -286,8 +286,8 @@ def test_leaks_with_substitutions(spark, local):
     doc = [w if k % 9 != 4 else "other" for k, w in enumerate(item)]
     a = spark.createDataFrame([(1, "x y z " + " ".join(doc)), (2, " ".join(reversed(item)))], "doc_id long, text string")
     b = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
-    assert contamination.leaked_items(a, b, max_local_items=local).count() == 0
-    rows = contamination.leaked_items(a, b, max_subs=2, max_local_items=local).collect()
+    assert contamination.leaked_items(a, b, max_local_bytes=local).count() == 0
+    rows = contamination.leaked_items(a, b, max_subs=2, max_local_bytes=local).collect()
     assert [(r.doc_id, r.item_id, r.words) for r in rows] == [(1, 7, 21)]
     with pytest.raises(ValueError):
         contamination.leaked_items(a, b, min_words=5)
@@ -307,7 +307,7 @@ def test_leaks_with_substitutions_anywhere(spark, local, words):
                 expected.add((len(docs) - 1, max(sum(k not in at for k in s) for s in stretches)))
     a = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
-    rows = contamination.leaked_items(a, b, max_subs=2, max_local_items=local).collect()
+    rows = contamination.leaked_items(a, b, max_subs=2, max_local_bytes=local).collect()
     assert len(expected) > 70 and sorted((r.doc_id, r.words) for r in rows) == sorted(expected)
 
 
