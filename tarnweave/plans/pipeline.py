@@ -55,8 +55,8 @@ def rank_envelope(site: dict[str, DataFrame], start_url: str) -> DataFrame:
 
 
 def file_envelope(top: DataFrame) -> DataFrame:
-    """One row with `top`, what `rank_file` gives, best first; null and an `error` if there is none."""
-    rows = top.agg(F.sort_array(F.collect_list(F.struct(F.col("score").alias("score"), F.col("node").alias("node"))), False).alias("t"))
+    """One row with `top`, what `rank_file` gives, best first, ties by node; null and an `error` if there is none."""
+    rows = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "node", "score"))).alias("t"))
     return rows.select(F.when(F.size("t") > 0, F.transform("t", lambda x: F.struct(x.node.alias("node"), x.score.alias("score")))).alias("top"), F.when(F.size("t") == 0, F.lit("no edges")).alias("error"))
 
 
