@@ -130,8 +130,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, min_words: int = 12,
                 shifts = set()
                 for m in masks:
                     a, b = seeds(dw, m), seeds(iw, m)
-                    for j, s in enumerate(b):
-                        shifts.update((np.flatnonzero(a == s) - j).tolist())
+                    order = np.argsort(a, kind="stable")
+                    low, high = (np.searchsorted(a[order], b, side) for side in ("left", "right"))
+                    for j in np.flatnonzero(high > low).tolist():
+                        shifts.update((order[low[j] : high[j]] - j).tolist())
                 if n := _best(dw, iw, shifts, min_words, max_subs):
                     for c, x in zip(out, (k, i, n), strict=True):
                         c.append(x)
