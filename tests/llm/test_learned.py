@@ -201,7 +201,7 @@ def test_density_decides():
     prose = PROSE["en"].replace(". ", ".\n") + "\n"
 
     def verdicts(text, repeated):
-        return body.body_lines(reader(text)[0], repeated, [0.0] * len(repeated))
+        return body.body_lines(reader(text)[0], repeated)
 
     on_prose, on_menus = verdicts(f"{prose}{line}\n{menu[:21]}", [0.0] * 4 + [0.05, 1.0]), verdicts(f"{menu}\n{line}", [1.0] * 8 + [0.05])
     assert on_prose[4][:2] == (4, False) and on_menus[8][:2] == (8, True)
