@@ -185,7 +185,7 @@ def furniture_lines(pages: DataFrame, model: residue.ResidueModel | None = None,
     URL, and all without `url_col`, count as one site.
     """
     if skip_residue and model is None:
-        model = residue.fit(pages, id_col=id_col, text_col=text_col)
+        model = residue.fit(pages, text_col=text_col)
 
     def find(batches):
         for ids, lines, repeated in batches:

@@ -1,12 +1,70 @@
-"""A bounded sample of pages to learn from, balanced by declared language."""
+"""What is learned from pages, balanced by declared language: counts over all pages, and a bounded sample."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnweave.llm.arrow import map_batches
+
 #: Characters of a sampled text that reach the driver, on average over its lines: longer texts give a share of their lines, drawn by hash.
 SAMPLE_CHARS = 20_000
+#: Pages of a label that count in full: a label of more weighs as much as so many, all of its pages alike.
+LABEL_PAGES = 400
+#: Entries that a task holds before it hands them on.
+HELD = 500_000
+
+
+def known_label(pages: DataFrame, labels: list[str], label_col: str) -> Column:
+    """First two letters of the label if they are among `labels`, else ''."""
+    label = F.lower(F.substring(F.trim(F.col(label_col)), 1, 2)) if label_col in pages.columns else F.lit(None).cast("string")
+    return F.when(label.isin(*labels), label).otherwise("")
+
+
+def label_weights(pages: dict[str, int]) -> dict[str, float]:
+    """By the numbers of pages of the labels, what one of its pages weighs."""
+    return {k: min(1.0, LABEL_PAGES / n) for k, n in pages.items()}
+
+
+def count_all(rows: DataFrame, count: Callable[[Counter, str], None], expand: Callable[[Counter], Counter]) -> dict[str, Counter]:
+    """Counters by label, over all `rows` of columns `label, text`.
+
+    `count` adds a text to its label's counter; `expand` makes of a counter the one that is added up and reaches the driver.
+    """
+
+    def run(batches) -> Iterator[list]:
+        held: dict[str, Counter] = {}
+
+        def out():
+            for label, counter in held.items():
+                found = expand(counter)
+                yield [[label] * len(found), list(found), list(found.values())]
+            held.clear()
+
+        for labels, texts in batches:
+            for label, text in zip(labels, texts, strict=True):
+                count(held.setdefault(label, Counter()), text)
+            if sum(map(len, held.values())) > HELD:
+                yield from out()
+        yield from out()
+
+    counted = map_batches(rows, run, {"label": "string", "what": "string", "n": "long"}).groupBy("label", "what").agg(F.sum("n").alias("n")).toArrow()
+    total: dict[str, Counter] = {}
+    for label, what, n in zip(*(counted[c].to_pylist() for c in ("label", "what", "n")), strict=True):
+        total.setdefault(label, Counter())[what] = n
+    return total
+
+
+def weighted(counters: dict[str, Counter], weights: dict[str, float]) -> Counter:
+    """The sum over labels, in a fixed order, so that the same counts give the same sum."""
+    out: Counter = Counter()
+    for label in sorted(counters):
+        for what, n in counters[label].items():
+            out[what] += n * weights[label]
+    return out
 
 
 def balanced_sample(pages: DataFrame, labels: list[str], *, id_col: str, text_col: str, label_col: str, sample_pages: int, others: bool, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
@@ -15,8 +73,7 @@ def balanced_sample(pages: DataFrame, labels: list[str], *, id_col: str, text_co
     Labels are counted first; a page is drawn if the hash of its id is below its label's share, so no page is moved or ranked
     but those that are drawn. The same table gives the same sample.
     """
-    label = F.lower(F.substring(F.trim(F.col(label_col)), 1, 2)) if label_col in pages.columns else F.lit(None).cast("string")
-    known = F.when(label.isin(*labels), label).otherwise("")
+    known = known_label(pages, labels, label_col)
     rows = pages.where(F.length(text_col) > 0).select(known.alias("label"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)).alias("h"))
     if not others:
         rows = rows.where("label <> ''")

@@ -50,6 +50,36 @@ def test_residue(spark):
     assert residue.residue_pages(corpus(spark).limit(0)).count() == 0
 
 
+def all_pages(n=1200):
+    """More pages than a language counts in full; each has a word of its own, the last three share two lines, the first is long and ends in one more word."""
+    word = lambda k: "q" + "".join("abcdefghij"[int(d)] for d in f"{k:04}")
+    rows = [(k, None, f"Title {word(k)}\n{PROSE['en']} The {word(k)} of the quiet village keeps a very small garden.", "en") for k in range(n)]
+    rows[0] = (0, None, (PROSE["en"] + "\n") * 200 + "The zyxwv of the quiet village keeps a very small garden.", "en")
+    return rows[:-3] + [(k, i, f"Intro {word(k)}\nShared by wvuts pages\nMore {word(k)}\nAlso on wvuts pages\n{t}", lang) for k, i, t, lang in rows[-3:]]
+
+
+def test_residue_is_learned_from_all_pages(spark):
+    rows = all_pages()
+    table = spark.createDataFrame([*rows, (5000, None, PROSE["ru"], "ru"), (5001, None, "", "en"), (5002, None, None, None)], "id long, url string, text string, lang string").repartition(5)
+    model = residue.fit(table)
+    grams = model.natural.grams[residue.ORDER - 1]
+    assert all(grams["q" + "".join("abcdefghij"[int(d)] for d in f"{k:04}"[:3])] > 0 for k in range(len(rows))) and grams["zyxw"] > 0
+    assert model.furniture("wvuts") > 0
+    again = residue.fit(table.repartition(3))
+    assert again.natural.heads == model.natural.heads and again.natural.grams == model.natural.grams and again.shapes[1].grams == model.shapes[1].grams and again.furniture.odds == model.furniture.odds
+
+
+def test_residue_of_a_few_pages(spark):
+    """Counted in Spark or of a list of texts, the models are the same."""
+    table = corpus(spark, [(k, None, t, None) for k, t in enumerate(CASES + NO_CASES)])
+    counted, listed = residue.fit(table), residue.ResidueModel([r.text for r in table.collect() if r.text])
+    words = {w for t in CASES + list(PROSE.values()) for w in t.lower().split()}
+    for w in words:
+        assert counted._rows[counted._index[w]] == pytest.approx(listed._rows[listed._index[w]])
+    assert counted.furniture.odds == pytest.approx(listed.furniture.odds)
+    assert all(counted._mark(residue.shape(w)) == listed._mark(residue.shape(w)) for t in CASES for w in t.split())
+
+
 # problem 6
 
 
