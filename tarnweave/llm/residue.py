@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.llm.arrow import Memo, map_batches
-from tarnweave.llm.sampling import HELD, count_all, known_label, label_weights, weighted
+from tarnweave.llm.sampling import HELD, by_text, count_all, known_label, label_weights, weighted
 
 ORDER = 4
 WINDOW = 3
@@ -454,7 +454,7 @@ def fit(pages: DataFrame, *, text_col: str = "text", label_col: str = "lang") ->
     rows = pages.where(F.length(text_col) > 0).select(known_label(pages, list(LANGUAGES), label_col).alias("label"), F.col(text_col).alias("text"))
     model = ResidueModel([])
     model.furniture = None
-    counted = count_all(rows, _count_words, _shape_grams)
+    counted = count_all(rows, by_text(_count_words), _shape_grams)
     weights = label_weights({k: c.pop("") for k, c in counted.items()})
     model.shapes = model.shapes[0], CharModel.of_grams(weighted(counted, weights))
     model.open()
@@ -466,7 +466,7 @@ def fit(pages: DataFrame, *, text_col: str = "text", label_col: str = "lang") ->
             counter["  " + first] += 1
             counter.update(others)
 
-    model.natural = CharModel.of_grams(weighted(count_all(rows, count_prose, _prose_grams), weights))
+    model.natural = CharModel.of_grams(weighted(count_all(rows, by_text(count_prose), _prose_grams), weights))
     model.open()
     model.furniture = _furniture(rows.select("text"), model)
     model.open()

@@ -29,10 +29,20 @@ def label_weights(pages: dict[str, int]) -> dict[str, float]:
     return {k: min(1.0, LABEL_PAGES / n) for k, n in pages.items()}
 
 
-def count_all(rows: DataFrame, count: Callable[[Counter, str], None], expand: Callable[[Counter], Counter]) -> dict[str, Counter]:
+def by_text(count: Callable[[Counter, str], None]) -> Callable[[dict[str, Counter], list[str], list[str]], None]:
+    """`count_all`'s `count` of one that adds a text to its label's counter."""
+
+    def add(held, labels, texts):
+        for label, text in zip(labels, texts, strict=True):
+            count(held.setdefault(label, Counter()), text)
+
+    return add
+
+
+def count_all(rows: DataFrame, count: Callable[[dict[str, Counter], list[str], list[str]], None], expand: Callable[[Counter], Counter] = Counter) -> dict[str, Counter]:
     """Counters by label, over all `rows` of columns `label, text`.
 
-    `count` adds a text to its label's counter; `expand` makes of a counter the one that is added up and reaches the driver.
+    `count` adds texts to the counters of their labels; `expand` makes of a counter the one that is added up and reaches the driver.
     """
 
     def run(batches) -> Iterator[list]:
@@ -45,8 +55,7 @@ def count_all(rows: DataFrame, count: Callable[[Counter, str], None], expand: Ca
             held.clear()
 
         for labels, texts in batches:
-            for label, text in zip(labels, texts, strict=True):
-                count(held.setdefault(label, Counter()), text)
+            count(held, labels, texts)
             if sum(map(len, held.values())) > HELD:
                 yield from out()
         yield from out()

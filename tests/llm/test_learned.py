@@ -95,6 +95,21 @@ def test_languages(spark):
     assert language.languages(corpus(spark).limit(0)).count() == 0
 
 
+def test_languages_leave_out_all_cases_of_residue(spark):
+    """Those with the right label as well."""
+    rows = [(k, None, "Error 404: the page you asked for could not be found. Access denied. You do not have permission to view this page. Internal server error. Service unavailable. Please try again.", lang) for k, lang in enumerate(["en", None])]
+    found = {r.id for r in language.languages(corpus(spark, rows)).collect()}
+    assert found == {r.id for r in corpus(spark).collect()}
+
+
+def test_languages_are_learned_from_all_pages(spark):
+    rows = all_pages()
+    table = spark.createDataFrame([*rows, *((5000 + k, None, PROSE["ru"], "ru") for k in range(3)), (6000, None, None, "en")], "id long, url string, text string, lang string")
+    model = language.fit(table)
+    assert {language.words_of(r[2].split(". The ")[-1])[0] for r in rows} <= model.words.keys() and "zyxwv" in model.words
+    assert language.fit(table.repartition(7)).total.tolist() == model.total.tolist()
+
+
 def test_priors_decide_where_words_say_little(spark):
     """The same names on a German and on a French host: the host, counted over its other pages, turns the verdict."""
     names = "Zk " + " ".join(map(str, range(30)))
