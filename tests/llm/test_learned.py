@@ -214,6 +214,19 @@ def test_body(spark):
     assert body.furniture_lines(table.limit(0), model).count() == body.main_body(table.limit(0)).count() == 0
 
 
+def test_body_leaves_out_residue_told_by_all_pages(spark):
+    """A notice beside lines that only pages beyond any sample share: those lines are furniture, so the page is a case."""
+    shared = ["Opening hours of the wvuts library are posted at every gate.", "Parking near the wvuts library is free on each sunny day.", "Tickets of the wvuts library are sold near every old gate."]
+    rows = [(k, f"https://s{k}.test/", t, lang) for k, _, t, lang in all_pages()]
+    rows += [(5000 + k, "https://s.test/", "\n".join(x for j, y in enumerate(shared) for x in (f"Intro {chr(97 + k)}{chr(97 + j)}", y)) + "\n" + PROSE["en"], "en") for k in range(6)]
+    table = spark.createDataFrame([*rows, (9000, "https://s.test/9", "Back\nError 404: the page you asked for could not be found.\n| Home | News | Shop |", "en")], "id long, url string, text string, lang string")
+    model = residue.fit(table)
+    assert all(sum(map(model.furniture, x.lower().split())) > residue.FURNITURE for x in shared)
+    cases = {r.id for r in residue.residue_pages(table, model).collect()}
+    found = {r.id for r in body.furniture_lines(table).collect()}
+    assert 9000 in cases and not found & cases and found == {r.id for r in body.furniture_lines(table, model).collect()}
+
+
 def test_body_of_pages_without_url(spark):
     """They count as one site; a site of few pages has its form only."""
     rows = [(k, None if k < 30 else f"https://s{k}.test/", t) for k, t in site_pages()]
