@@ -354,3 +354,17 @@ def test_no_pair_is_left_out(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "FREQUENT", 0)
     monkeypatch.setattr(near_duplicates, "ORDERED", 50)
     assert pairs() == truth
+
+
+def test_leading_runs_are_shuffled_once(spark):
+    """Both sides of the meeting are one plan: the second one takes the first one's shuffle."""
+    texts = [(k, " ".join(f"w{j}" for j in range(k % 7, 60 + k % 7))) for k in range(40)]
+    src = spark.createDataFrame(texts, "id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        met = near_duplicates._met(near_duplicates._leading(src, near_duplicates._run_counts(src), 0.4), 0.4)
+        assert met.collect()
+        assert "ReusedExchange" in met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
