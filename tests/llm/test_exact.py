@@ -368,3 +368,14 @@ def test_leading_runs_are_shuffled_once(spark):
         assert "ReusedExchange" in met._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_words_of_chunks_are_those_of_the_whole_text():
+    """Words are hashed by what stands between blanks; the words and runs are those of the text in lower case."""
+    texts = ["ΑΣ ΟΔΟΣ. İstanbul o'clock don't\x1ca-b c_d \u00a0 - " * 20, "word’s ΑΣ’ " * 40, "… " * 90, "x y " * 24]
+    (ids, words, sizes, runs, owner, n), *others = near_duplicates._chunks([([1, 2, 3, 4], texts)])
+    memo = near_duplicates._hash_memo()
+    expected = [near_duplicates._words(t, memo) for t in texts[:2]]
+    assert not others and ids == [1, 2] and sizes == list(map(len, expected)) and np.array_equal(words, np.concatenate(expected))
+    own = [np.unique(near_duplicates._runs(w) >> np.uint64(10)) for w in expected]
+    assert n.tolist() == list(map(len, own)) and np.array_equal(runs, np.concatenate(own)) and owner.tolist() == np.repeat([0, 1], n).tolist()
