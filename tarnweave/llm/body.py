@@ -92,7 +92,7 @@ class Reader:
         self.line = Memo(self._line, 50_000)
 
     @staticmethod
-    def _line(raw: str) -> tuple[tuple[int, int, int], int, int, list[int], tuple[str, str, str]] | None:
+    def _line(raw: str) -> tuple[tuple[int, int, int], int, int, list[int]] | None:
         line = " ".join(raw.split())
         if not line:
             return None
@@ -102,9 +102,9 @@ class Reader:
         opening, short = pieces(low) if parted or " – " in line or " - " in line else ("", ())
         shape, menu = FORM * share, LABELS * labels(line) if parted else 0.0
         link = -1 if kind == "byline" else 2 * round(1000 * (1.0 - (1.0 - shape) * (1.0 - menu))) + (menu > shape)
-        return (len(line), 1 + sum(map(line.count, _PIECES)) + (sum(map(line.count, _MORE_PIECES)) if parted else 0), link), _hash(low), _hash(opening) if opening else 0, [_hash(x) for x in short], (raw, line, low)
+        return (len(line), 1 + sum(map(line.count, _PIECES)) + (sum(map(line.count, _MORE_PIECES)) if parted else 0), link), _hash(low), _hash(opening) if opening else 0, [_hash(x) for x in short]
 
-    def __call__(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int], list[tuple[str, str, str]]]:
+    def __call__(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int], list[str]]:
         """What LINES names, and the lines as `residue.ResidueModel.judge` takes them."""
         lines, hashes, openings, short, split = [], [], [], [], []
         section = 0
@@ -117,7 +117,7 @@ class Reader:
             hashes.append(got[1])
             openings.append(got[2])
             short += got[3]
-            split.append(got[4])
+            split.append(raw)
         return lines, hashes, openings, short, split
 
 
