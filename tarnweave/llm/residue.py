@@ -222,7 +222,7 @@ class ResidueModel:
     def _sentences(self, text: str) -> list[tuple[str, list[str]]]:
         """`prose`'s sentences and their words."""
         maybe = self._maybe(text.split())
-        parts = ((s, s.split()) for line in text.split("\n") for s in _SENTENCE.split(line))
+        parts = ((s, s.split()) for line in text.split("\n") if len(line) >= 15 for s in _SENTENCE.split(line))  # eight words and what parts them
         return [(s, words) for s, words in parts if len(words) >= 8 and not (maybe and self.left_over(" ".join(words), s.lower()))]
 
     def _maybe(self, words: list[str]) -> bool:
@@ -384,12 +384,12 @@ def _shape_grams(words: Counter) -> Counter:
     return out
 
 
-def _prose_grams(words: Counter) -> Counter:
+def _prose_grams(words: Counter) -> dict[str, int]:
     """Grams of the words of sentences, in lower case with digits as 0, of which the first ones come with two spaces before them. No word is judged by one before it, so grams of two words are not counted."""
     clean: Counter = Counter()
     for w, n in words.items():
         clean[_DIGITS.sub("0", w.lower())] += n
-    out: Counter = Counter()
+    out = defaultdict(int)
     for w, n in clean.items():
         for g in grams(f"{w} " if w[0] == " " else f" {w} "):
             out[g] += n
@@ -496,9 +496,11 @@ def fit(pages: DataFrame, *, text_col: str = "text", label_col: str = "lang") ->
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def count_prose(counter: Counter, text: str) -> None:
+        found = []
         for _, (first, *others) in shared.value._sentences(text):
-            counter["  " + first] += 1
-            counter.update(others)
+            found.append("  " + first)
+            found += others
+        counter.update(found)
 
     model.natural = CharModel.of_grams(weighted(count_all(rows, by_text(count_prose), _prose_grams), weights))
     model.open()

@@ -39,7 +39,7 @@ def by_text(count: Callable[[Counter, str], None]) -> Callable[[dict[str, Counte
     return add
 
 
-def count_all(rows: DataFrame, count: Callable[[dict[str, Counter], list[str], list[str]], None], expand: Callable[[Counter], Counter] = Counter) -> dict[str, Counter]:
+def count_all(rows: DataFrame, count: Callable[[dict[str, Counter], list[str], list[str]], None], expand: Callable[[Counter], dict[str, int]] = Counter) -> dict[str, Counter]:
     """Counters by label, over all `rows` of columns `label, text`.
 
     `count` adds texts to the counters of their labels; `expand` makes of a counter the one that is added up and reaches the driver.
