@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.llm.arrow import map_batches
+from tarnweave.llm.words import PACKED, Words, unpack
 
 #: Characters of a sampled text that reach the driver, on average over its lines: longer texts give a share of their lines, drawn by hash.
 SAMPLE_CHARS = 20_000
@@ -29,20 +30,10 @@ def label_weights(pages: dict[str, int]) -> dict[str, float]:
     return {k: min(1.0, LABEL_PAGES / n) for k, n in pages.items()}
 
 
-def by_text(count: Callable[[Counter, str], None]) -> Callable[[dict[str, Counter], list[str], list[str]], None]:
-    """`count_all`'s `count` of one that adds a text to its label's counter."""
+def count_all(rows: DataFrame, count: Callable[[dict[str, Counter], list[str | None], Words], None], expand: Callable[[Counter], dict[str, int]] = Counter) -> dict[str, Counter]:
+    """Counters by label, over all pages of an encoded table (`words.encoded`) of the column `label`.
 
-    def add(held, labels, texts):
-        for label, text in zip(labels, texts, strict=True):
-            count(held.setdefault(label, Counter()), text)
-
-    return add
-
-
-def count_all(rows: DataFrame, count: Callable[[dict[str, Counter], list[str], list[str]], None], expand: Callable[[Counter], dict[str, int]] = Counter) -> dict[str, Counter]:
-    """Counters by label, over all `rows` of columns `label, text`.
-
-    `count` adds texts to the counters of their labels; `expand` makes of a counter the one that is added up and reaches the driver.
+    `count` adds pages to the counters of their labels; `expand` makes of a counter the one that is added up and reaches the driver.
     """
 
     def run(batches) -> Iterator[list]:
@@ -54,13 +45,13 @@ def count_all(rows: DataFrame, count: Callable[[dict[str, Counter], list[str], l
                 yield [[label] * len(found), list(found), list(found.values())]
             held.clear()
 
-        for labels, texts in batches:
-            count(held, labels, texts)
+        for (labels,), words in unpack(batches):
+            count(held, labels, words)
             if sum(map(len, held.values())) > HELD:
                 yield from out()
         yield from out()
 
-    counted = map_batches(rows, run, {"label": "string", "what": "string", "n": "long"}).groupBy("label", "what").agg(F.sum("n").alias("n")).toArrow()
+    counted = map_batches(rows.select("label", *PACKED), run, {"label": "string", "what": "string", "n": "long"}).groupBy("label", "what").agg(F.sum("n").alias("n")).toArrow()
     total: dict[str, Counter] = {}
     for label, what, n in zip(*(counted[c].to_pylist() for c in ("label", "what", "n")), strict=True):
         total.setdefault(label, Counter())[what] = n
