@@ -414,15 +414,18 @@ def _furniture(rows: DataFrame, model: ResidueModel, pages: int) -> Furniture:
 
     def run(batches):
         many, few, last = Counter(), Counter(), None
-        letters = Memo(_LETTERS.findall)
-
-        def count(counter, text):  # '' counts lines
-            counter.update({"", *chain.from_iterable(map(letters.__getitem__, text.split(" ")))})
+        shared, single, letters = [], [], Memo(_LETTERS.findall)
 
         def close():
             least = min(len(before), len(after))
             if least == 1 or least >= enough:
-                count(many if least >= enough else few, text)
+                (shared if least >= enough else single).append(text)
+
+        def count():
+            for counter, found in ((many, shared), (few, single)):
+                counter.update(chain.from_iterable([set(chain.from_iterable(map(letters.__getitem__, x.split(" ")))) for x in found]))
+                counter[""] += len(found)  # lines
+                found.clear()
 
         def out():
             words = list(many.keys() | few.keys())
@@ -439,16 +442,18 @@ def _furniture(rows: DataFrame, model: ResidueModel, pages: int) -> Furniture:
                         close()
                         last = None
                     if not again[k + 1]:  # most lines come once
-                        count(few, lines[k])
+                        single.append(lines[k])
                         continue
                     last, text, before, after = key, None, set(), set()
                 text = text or lines[k]
                 before.add(b[k])
                 after.add(a[k])
+            count()
             if len(many) + len(few) > HELD:
                 yield out()
         if last is not None:
             close()
+        count()
         yield out()
 
     lines = _contexts(rows, model).repartition("hash").sortWithinPartitions("hash")

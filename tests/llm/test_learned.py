@@ -263,6 +263,10 @@ def test_body_leaves_out_residue_told_by_all_pages(spark):
     assert 9000 in cases and not found & cases and found == {r.id for r in body.furniture_lines(table, model).collect()}
 
 
+def test_body_reads_each_text_once(spark, tmp_path):
+    assert once(spark, body.furniture_lines, tmp_path)
+
+
 def test_body_of_pages_without_url(spark):
     """They count as one site; a site of few pages has its form only."""
     rows = [(k, None if k < 30 else f"https://s{k}.test/", t) for k, t in site_pages()]
