@@ -87,6 +87,11 @@ def test_residue_is_learned_from_all_pages(spark):
     assert again.natural.heads == model.natural.heads and again.natural.grams == model.natural.grams and again.shapes[1].grams == model.shapes[1].grams and again.furniture.odds == model.furniture.odds
 
 
+def test_residue_reads_each_text_once(spark, tmp_path):
+    found = {r.id for r in once(spark, residue.residue_pages, tmp_path)}
+    assert found and found <= set(range(len(CASES)))
+
+
 def test_residue_of_a_few_pages(spark):
     """Counted in Spark or of a list of texts, the models are the same."""
     table = corpus(spark, [(k, None, t, None) for k, t in enumerate(CASES + NO_CASES)])
