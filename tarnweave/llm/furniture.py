@@ -29,3 +29,8 @@ def form(line: str) -> tuple[float, str]:
     if (line.split(" ", 1)[0].rstrip(":").lower() in _FIRST or " staff report" in line.lower()) and line.count(" ") < BYLINE_WORDS and _BYLINE.match(line):
         return 0.0, "byline"
     return 0.0, "text"
+
+
+def may_open(word: str) -> bool:
+    """Whether `form` may say more than 'text' of a line that begins with the word."""
+    return word[0] in "»→›▸►[©" or word[0].isdigit() or word.rstrip(":").lower() in _FIRST
