@@ -198,8 +198,8 @@ def _judged(lines: pa.Array, repeated: pa.Array) -> tuple[np.ndarray, np.ndarray
     shares, given = flat(repeated)
     page = np.repeat(np.arange(len(sizes)), sizes // FIELDS)
     share = np.zeros(len(page))
-    share[np.repeat(given > 0, sizes // FIELDS)] = np.nan_to_num(shares.astype(np.float64))
-    rows = values.reshape(-1, FIELDS).astype(np.int64)
+    share[np.repeat(given > 0, sizes // FIELDS)] = shares.to_numpy(zero_copy_only=False)
+    rows = values.to_numpy(zero_copy_only=False).reshape(-1, FIELDS).astype(np.int64)
     return page, rows[:, 0], *verdicts(page, rows, share)
 
 

@@ -22,11 +22,13 @@ from collections.abc import Iterable, Mapping
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnweave.llm.arrow import Memo, map_batches
+from tarnweave.llm.arrow import Memo, flat, map_batches
 from tarnweave.llm.sampling import HELD, count_all, known_label, label_weights, weighted
 from tarnweave.llm.words import PACKED, Words, codes, encoded, unpack
 
@@ -246,6 +248,7 @@ class ResidueModel:
         self._lows = Memo(self._word, 10**9)
         self._rows: list[tuple[float, float, float, float]] = []
         self._suspects = Memo(_suspect)
+        self._ends = Memo(lambda w: _END.search(w) is not None)
         self._lines = Memo(lambda line: self.left_over(line, line.lower()), 50_000)
         self._marks = Memo(self._mark)
         self._grams = Memo(self._gram)
@@ -295,24 +298,25 @@ class ResidueModel:
         return empty_value(line, low)
 
     def _hot(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Per line: number of words inside residue windows (a line of fewer than WINDOW words is one window), and whether it is furniture."""
-        flat, sizes, start, end = words.tokens, words.size, words.start, words.end
+        """Per line the number of words inside residue windows (a line of fewer than WINDOW words is one window), and whether it is furniture."""
+        flat, start, end = words.tokens, words.start, words.end
         table = np.array([self._rows[k] for k in map(self._index.__getitem__, words.vocabulary)]).T
-        total = lambda column: np.concatenate([np.zeros(1, column.dtype), np.cumsum(column[flat])])
-        above = [total((table[k] > 0).astype(np.int32)) for k in (0, 1)]
-        at = np.arange(len(flat))
-        stop = np.minimum(at + WINDOW, np.repeat(end, sizes))
-        begin = np.where(stop - at < WINDOW, np.maximum(stop - WINDOW, np.repeat(start, sizes)), at)
-        most = np.minimum(2, stop - begin)  # no single odd word makes a window
-        enough = [x[stop] - x[begin] >= most for x in above]
-        near = np.flatnonzero(enough[0] | enough[1])
-        begin, stop = begin[near], stop[near]
-        filler, errors, size = map(total, table[:3])
-        least = THRESHOLD * (size[stop] - size[begin])
-        hot = ((filler[stop] - filler[begin] > least) & enough[0][near]) | ((errors[stop] - errors[begin] > least) & enough[1][near])
-        edge = np.bincount(begin[hot], minlength=len(flat) + 1) - np.bincount(stop[hot], minlength=len(flat) + 1)
-        inside = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-        return inside[end] - inside[start], words.by_line(table[3]) > FURNITURE
+        above = [(x > 0)[flat].astype(np.int8) for x in table[:2]]
+        fits = np.ones(len(flat), bool)  # a window of the line begins at the word
+        for k in range(1, WINDOW):
+            fits[np.maximum(end - k, start)] = False
+        whole = max(0, len(flat) - WINDOW + 1)
+        many = [sum((x[k : whole + k] for k in range(WINDOW)), np.zeros(whole, np.int8)) >= min(2, WINDOW) for x in above]
+        inside = np.zeros(len(flat), bool)
+        for n in range(1, WINDOW + 1):
+            begin = np.flatnonzero(fits[:whole] & (many[0] | many[1])) if n == WINDOW else start[words.size == n]
+            most = min(2, n)  # no single odd word makes a window
+            at = flat[begin[:, None] + np.arange(n)]
+            filler, errors, size = (x[at].sum(axis=1) for x in table[:3])
+            enough = [(x > 0)[at].sum(axis=1) >= most for x in table[:2]]
+            hot = ((filler > THRESHOLD * size) & enough[0]) | ((errors > THRESHOLD * size) & enough[1])
+            inside[(begin[hot][:, None] + np.arange(n)).ravel()] = True
+        return np.add.reduceat(inside, start, dtype=np.int64), words.by_line(table[3]) > FURNITURE
 
     def judge_words(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per page: is it a case, its residue words, its sentence words (0 where residue is too little for a case)."""
@@ -321,14 +325,15 @@ class ResidueModel:
         left_over = np.zeros(words.pages, bool)
         if not len(words.size):
             return left_over, left_over.astype(np.int64), left_over.astype(np.int64)
-        for j in np.flatnonzero(words.by_line(words.told(self._suspects.__getitem__, np.int64))).tolist():
+        suspects = np.flatnonzero(words.told(self._suspects.__getitem__, bool)[words.tokens])
+        for j in np.unique(np.searchsorted(words.end, suspects, "right")).tolist():
             left_over[words.page[j]] |= self._lines[words.text(words.start[j], words.end[j])]
         bad, furniture = self._hot(words)
         n = words.size
-        ended = words.told(lambda w: _END.search(w) is not None, bool)[words.tokens[words.end - 1]]
         # below that a page is never a case by its residue
         some = words.by_page(bad)[words.page] >= MIN_RESIDUE
         mostly = some & (bad >= 0.6 * n)
+        ended = words.told(self._ends.__getitem__, bool)[words.tokens[words.end - 1]]
         text = some & ~mostly & (n >= 6) & ~furniture & ((n >= 14) | ended)
         residue = words.by_page(np.where(mostly | (text & (bad > 2)), bad, 0))
         sentence = words.by_page(np.where(text, n - bad, 0))
@@ -413,19 +418,39 @@ def _furniture(rows: DataFrame, model: ResidueModel, pages: int) -> Furniture:
     enough = max(SHARED, round(SHARED * pages / SHARED_OF))
 
     def run(batches):
-        many, few, last = Counter(), Counter(), None
-        shared, single, letters = [], [], Memo(_LETTERS.findall)
+        many, few = Counter(), Counter()
+        key, text, before, after = None, None, set(), set()  # the line that may go on in the next batch
+        letters = Memo(lambda w: list(map(place.__getitem__, _LETTERS.findall(w))))
+        place = Memo(lambda w: len(place), 10**9)
+
+        def count(lines: pa.Array, least: np.ndarray):
+            """Adds the words of distinct lines, each word once a line."""
+            shared = least >= enough
+            taken = np.flatnonzero(shared | (least == 1))
+            if len(place) > HELD:
+                place.clear()
+                letters.clear()
+            words, sizes = flat(pc.split_pattern(lines.take(pa.array(taken)), " "))
+            coded = words.dictionary_encode()
+            known = [letters[w] for w in coded.dictionary.to_pylist()]
+            parts, ends = np.fromiter(chain.from_iterable(known), np.int64), np.cumsum(list(map(len, known)), dtype=np.int64)
+            token = coded.indices.to_numpy()
+            n = np.diff(ends, prepend=0)[token]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat((ends - np.diff(ends, prepend=0))[token], n)
+            line = np.repeat(np.repeat(np.arange(len(taken)), sizes), n)
+            pairs = np.sort(line * len(place) + parts[at])
+            pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+            names = list(place)
+            for counter, of in ((many, shared[taken]), (few, ~shared[taken])):
+                counts = np.bincount(pairs[of[pairs // len(place)]] % len(place)) if len(pairs) else np.zeros(0, np.int64)
+                found = np.flatnonzero(counts)
+                for k, times in zip(found.tolist(), counts[found].tolist(), strict=True):
+                    counter[names[k]] += times
+                counter[""] += int(of.sum())  # lines
 
         def close():
-            least = min(len(before), len(after))
-            if least == 1 or least >= enough:
-                (shared if least >= enough else single).append(text)
-
-        def count():
-            for counter, found in ((many, shared), (few, single)):
-                counter.update(chain.from_iterable([set(chain.from_iterable(map(letters.__getitem__, x.split(" ")))) for x in found]))
-                counter[""] += len(found)  # lines
-                found.clear()
+            if key is not None:
+                count(pa.array([text], pa.string()), np.array([min(len(before), len(after))]))
 
         def out():
             words = list(many.keys() | few.keys())
@@ -435,29 +460,39 @@ def _furniture(rows: DataFrame, model: ResidueModel, pages: int) -> Furniture:
             return columns
 
         for keys, lines, b, a in batches:
-            again = [False, *map(int.__eq__, keys, keys[1:]), True]  # the last one may go on in the next batch
-            for k, key in enumerate(keys):
-                if key != last:
-                    if last is not None:
-                        close()
-                        last = None
-                    if not again[k + 1]:  # most lines come once
-                        single.append(lines[k])
-                        continue
-                    last, text, before, after = key, None, set(), set()
-                text = text or lines[k]
-                before.add(b[k])
-                after.add(a[k])
-            count()
+            keys, b, a = (x.to_numpy() for x in (keys, b, a))
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            if key == int(keys[0]):
+                end = int(first[1]) if len(first) > 1 else len(keys)
+                text = text or next((x for x in lines[:end].to_pylist() if x), None)
+                before.update(b[:end].tolist())
+                after.update(a[:end].tolist())
+                first = first[1:]
+            if not len(first):
+                continue
+            close()
+            last = int(first[-1])
+            key, text, before, after = int(keys[last]), next((x for x in lines[last:].to_pylist() if x), None), set(b[last:].tolist()), set(a[last:].tolist())
+            if len(first) > 1:
+                rows = np.arange(first[0], last)
+                group = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                least = np.full(len(first) - 1, len(rows))
+                for x in (b[rows], a[rows]):
+                    order = np.lexsort((x, group))
+                    x, of = x[order], group[order]
+                    different = np.concatenate([[True], (x[1:] != x[:-1]) | (of[1:] != of[:-1])])
+                    least = np.minimum(least, np.bincount(of[different], minlength=len(least)))
+                # one row of each line at least has its text
+                given = rows[lines.slice(first[0], len(rows)).is_valid().to_numpy(zero_copy_only=False)]
+                one = given[np.searchsorted(given, first[:-1])]
+                count(lines.take(pa.array(one)), least)
             if len(many) + len(few) > HELD:
                 yield out()
-        if last is not None:
-            close()
-        count()
+        close()
         yield out()
 
     lines = _contexts(rows, model).repartition("hash").sortWithinPartitions("hash")
-    words = map_batches(lines, run, {"word": "string", "many": "long", "few": "long"}).groupBy("word").agg(F.sum("many").alias("many"), F.sum("few").alias("few"))
+    words = map_batches(lines, run, {"word": "string", "many": "long", "few": "long"}, ("hash", "line", "before", "after")).groupBy("word").agg(F.sum("many").alias("many"), F.sum("few").alias("few"))
     found = words.where("many + few >= 2 or word = ''").toArrow()
     rows = {w: (many, few) for w, many, few in zip(*(found[c].to_pylist() for c in ("word", "many", "few")), strict=True)}
     out = Furniture([])

@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tarnweave.llm.arrow import map_batches
+from tarnweave.llm.arrow import flat, map_batches
 from tarnweave.session import cut
 
 #: Columns of the encoded table besides those of the pages, which become lists.
@@ -52,6 +54,19 @@ class Words:
         tokens = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
         return cls(p + 1, vocabulary, tokens, np.array([page, number, size], np.int64).reshape(3, -1))
 
+    @classmethod
+    def of_column(cls, texts: pa.Array) -> Words:
+        """`of`, by Arrow's functions, which know the same blanks."""
+        lines, of_page = flat(pc.split_pattern(texts, "\n"))
+        words, of_line = flat(pc.utf8_split_whitespace(lines))
+        some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # beside blanks at the ends stand empty words
+        coded = words.filter(pa.array(some)).dictionary_encode()
+        size = np.bincount(np.repeat(np.arange(len(of_line)), of_line)[some], minlength=len(of_line))
+        page = np.repeat(np.arange(len(of_page)), of_page)
+        number = np.arange(len(page)) - np.repeat(np.cumsum(of_page) - of_page, of_page)
+        kept = size > 0
+        return cls(len(of_page), coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.array([page[kept], number[kept], size[kept]], np.int64))
+
     def packed(self) -> list:
         kind = np.uint16 if len(self.vocabulary) <= 1 << 16 else np.uint32
         return ["\n".join(self.vocabulary), self.tokens.astype(kind).tobytes(), np.array([self.page, self.number, self.size], np.int32).tobytes()]
@@ -114,9 +129,9 @@ def encoded(pages: DataFrame, columns: dict[str, str]) -> DataFrame:
 
     def run(batches):
         for *rest, texts in batches:
-            yield [*([x] for x in rest), *([x] for x in Words.of(texts).packed())]
+            yield [*([x] for x in rest), *([x] for x in Words.of_column(texts).packed())]
 
-    return cut(map_batches(pages.select(*columns, "text"), run, {k: f"{kind}s" for k, kind in columns.items()} | PACKED))
+    return cut(map_batches(pages.select(*columns, "text"), run, {k: f"{kind}s" for k, kind in columns.items()} | PACKED, ("text",)))
 
 
 def unpack(batches: Iterable[list]) -> Iterator[tuple[list[list], Words]]:

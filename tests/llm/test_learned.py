@@ -5,6 +5,7 @@ import tempfile
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarnweave.llm import body, language, residue, stuffing
@@ -151,6 +152,30 @@ def test_words_are_those_of_the_lines():
     assert Words.unpacked(2, *empty.packed()).vocabulary == [] == residue.ResidueModel([]).prose("") and empty.hashes(hash).tolist() == []
 
 
+def test_words_of_a_column_are_those_of_the_texts():
+    """Arrow's functions and Python's split alike, at every blank there is."""
+    blanks = "".join(chr(c) for c in range(0x3100) if chr(c).isspace() or not chr(c).isprintable())
+    for texts in (["One two\r\n\n  two\x1cthree \u00a0 four. ", None, "", " \n ", "ΟΔΟΣ x", *PROSE.values()], [None], [], [f"a{c}b {c} c" for c in blanks]):
+        expected = Words.of(texts)
+        for column in (pa.array(texts, pa.string()), pa.array(["left out", *texts, None], pa.string()).slice(1, len(texts))):
+            words = Words.of_column(column)
+            assert words.pages == expected.pages and words.packed() == expected.packed()
+
+
+@pytest.mark.parametrize("rows", [1, 3])
+def test_furniture_is_counted_over_batches(spark, rows):
+    """A line's surroundings may come in several batches."""
+    table = spark.createDataFrame([r for r in all_pages(40) for _ in range(2)], "id long, url string, text string, lang string").repartition(3)
+    encoded = residue.encoded(table.select(residue.labelled(table, "text", "lang").alias("label"), "text"), {"label": "string"}).cache()
+    model = residue.learn(encoded)
+    whole = residue._furniture(encoded, model, 80).odds
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        assert residue._furniture(encoded, model, 80).odds == whole and whole["wvuts"] > 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_priors_decide_where_words_say_little(spark):
     """The same names on a German and on a French host: the host, counted over its other pages, turns the verdict."""
     names = "Zk " + " ".join(map(str, range(30)))
