@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -370,6 +371,29 @@ def test_leading_runs_are_shuffled_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_chunks_of_a_column_are_those_of_the_texts():
+    """Columns of Arrow are split as they are, slices too; short and empty texts are left out, and a chunk may hold nothing else."""
+    texts = ["", "ΑΣ o'clock a-b\x1c… don't \u00a0 " * 20, "too short", "one two " * 30 + "_", " \n ", "word " * 49 + "w", "word " * 48 + "w"] + ["few"] * near_duplicates.CHUNK + ["x y z " * 20]
+    column = pa.array(["left out", *texts]).slice(1)
+    chunks = list(near_duplicates._chunks([(list(range(len(texts))), column)]))
+    memo = near_duplicates._hash_memo()
+    assert [ids for ids, *_ in chunks] == [[1, 3, 5], [len(texts) - 1]]
+    for ids, words, sizes, runs, owner, n in chunks:
+        expected = [near_duplicates._words(texts[k], memo) for k in ids]
+        assert sizes == list(map(len, expected)) and np.array_equal(words, np.concatenate(expected))
+        own = [np.unique(near_duplicates._runs(w) >> np.uint64(10)) for w in expected]
+        assert n.tolist() == list(map(len, own)) and np.array_equal(runs, np.concatenate(own)) and owner.tolist() == np.repeat(range(len(ids)), n).tolist()
+
+
+@pytest.mark.parametrize("most", [1, 40, 2**31])
+def test_order_of_runs(most):
+    """Whether the numbers fit in one or not, the order is that of a stable sort."""
+    rng = np.random.default_rng(1)
+    owner, times = np.sort(rng.integers(0, 2**20 if most > 40 else 30, 5000)), rng.integers(0, most, 5000)
+    assert near_duplicates._order(owner, times).tolist() == np.lexsort((times, owner)).tolist()
+    assert near_duplicates._order(owner[:0], times[:0]).tolist() == []
+
+
 def test_words_of_chunks_are_those_of_the_whole_text():
     """Words are hashed by what stands between blanks; the words and runs are those of the text in lower case."""
     texts = ["ΑΣ ΟΔΟΣ. İstanbul o'clock don't\x1ca-b c_d \u00a0 - " * 20, "word’s ΑΣ’ " * 40, "… " * 90, "x y " * 24]
